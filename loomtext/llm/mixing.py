@@ -69,6 +69,22 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.round(p)
 
 
+def _step(seed: int, turn: int, final: bool):
+    """One block's flight, and its landing in the last round."""
+
+    def step(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc_id", kind="stable").reset_index(drop=True)
+        rng = np.random.default_rng([seed, turn, int(key[1]), sum(str(key[0]).encode())])
+        # in random order, so that neighbouring ids don't decide each other
+        pdf = pdf.iloc[rng.permutation(len(pdf))].reset_index(drop=True)
+        size = pdf["n_tokens"].to_numpy()
+        p = flight(pdf["p"].to_numpy(), size, rng)
+        pdf["p"] = landing(p, size) if final else p
+        return pdf[["source", "doc_id", "n_tokens", "p"]]
+
+    return step
+
+
 def cube_sample(rows: DataFrame, block: int = 4000, seed: int = 9) -> DataFrame:
     """(source, doc_id, n_tokens, taken 0 or 1) for rows (source, doc_id, n_tokens, p).
 
@@ -83,16 +99,7 @@ def cube_sample(rows: DataFrame, block: int = 4000, seed: int = 9) -> DataFrame:
         final = all(n == 1 for n in blocks.values())
         count = F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv])[F.col("source")] if blocks else F.lit(1)
 
-        def step(key, pdf: pd.DataFrame, final: bool = final, turn: int = turn) -> pd.DataFrame:
-            pdf = pdf.sort_values("doc_id", kind="stable").reset_index(drop=True)
-            rng = np.random.default_rng([seed, turn, int(key[1]) & 0xFFFF, sum(str(key[0]).encode())])
-            # in random order, so that equal sizes don't meet by id
-            pdf = pdf.iloc[rng.permutation(len(pdf))].reset_index(drop=True)
-            p = flight(pdf["p"].to_numpy(), pdf["n_tokens"].to_numpy(), rng)
-            pdf["p"] = landing(p, pdf["n_tokens"].to_numpy()) if final else p
-            return pdf[["source", "doc_id", "n_tokens", "p"]]
-
-        moved = cut_lineage(todo.withColumn("blk", F.pmod(F.xxhash64("doc_id", F.lit(turn)), count).cast("int")).groupBy("source", "blk").applyInPandas(step, schema), "cube")
+        moved = cut_lineage(todo.withColumn("blk", F.pmod(F.xxhash64("doc_id", F.lit(turn)), count).cast("int")).groupBy("source", "blk").applyInPandas(_step(seed, turn, final), schema), "cube")
         decided = moved.where(f"p < {EPS} OR p > {1 - EPS}")
         done = decided if done is None else done.union(decided)
         if final:

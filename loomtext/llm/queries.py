@@ -6,13 +6,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import spans
+from . import mixing, neardup, packing, spans
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.NearDuplicates(table(spark, sf_dir, "documents"), words=3, threshold=0.8).pairs().select("doc_id_1", "doc_id_2")
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.NearDuplicates(table(spark, sf_dir, "documents"), words=3, threshold=0.8).groups()
+
+
+def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_limits"))
+
+
+def p8_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p8_packing(spark, sf_dir))
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> mixing.Mixture:
+    return mixing.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).rows()
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).shares()
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_spans(table(spark, sf_dir, "documents"))
 
@@ -22,7 +50,8 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p10_found": p10_found, "p10_share": p10_share}
+    each = (p3_found, p3_groups, p8_packing, p8_filled, p9_mixture, p9_shares, p10_found, p10_share)
+    return {f.__name__: f for f in each}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,11 +4,14 @@ Every fixed-length window of a text gets a Rabin-Karp hash. Windows that occur i
 into maximal intervals. Windows count code points, so white space and case take part.
 
 Counting each window of the whole collection would shuffle many times the input. The windows are therefore
-counted in two rounds, and the outcome is the same:
+counted in rounds, and the outcome is the same:
 
 1. Of the shorter windows inside each run of ``min_length`` characters the one with the smallest hash is kept
    (winnowing). Equal runs keep the same one, so a run whose kept window is in no other record is no case.
-2. Of the runs left, every window of ``min_length`` characters is hashed and counted.
+2. Of the windows left, those side by side that keep the same shorter window are hashed as one block and counted. A block that
+   another record holds settles all its windows.
+3. Where a record has an unsettled block, all records with the same kept window count every window of
+   ``min_length`` characters by itself.
 
 Windows that are frequent within a batch are settled there and travel as one marker, so that a passage held by
 a third of all records puts no load on one task.
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.session import cut_lineage, spread
-from .numtext import RollingHash, sliding, slices
+from .numtext import RollingHash, mix64, sliding, slices
 
 _ROWS = "h long, doc_id long, pos int, settled boolean"
 _MARK = -(1 << 63)
@@ -91,8 +94,25 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.repartition(parts, spread_key).sortWithinPartitions("h").mapInArrow(settle, "h long, doc_id long, pos int")
 
 
-def shared_windows(docs: DataFrame, min_length: int = 200) -> DataFrame:
-    """(doc_id, pos) of every window of ``min_length`` code points that another record holds as well.
+def _runs(sums: np.ndarray, roll: RollingHash, known: np.ndarray, min_length: int) -> tuple[np.ndarray, ...]:
+    """Runs of neighbouring windows with the same kept shorter window, as far as that may stand elsewhere.
+
+    Returns where the windows of each run begin and stop, the hash that they keep (of a long part of the window
+    this time), and the hash of all the text that the run covers.
+    """
+    gram = max(1, min_length // 2)
+    some = np.isin(sliding(np.minimum, roll.windows(sums, gram), min_length - gram + 1), known)
+    core = max(1, min_length * 22 // 25)
+    low = sliding(np.minimum, roll.windows(sums, core), min_length - core + 1)
+    new = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (some[1:] != some[:-1]))))
+    lo, hi = new[some[new]], np.concatenate((new[1:], [len(low)]))[some[new]]
+    with np.errstate(over="ignore"):
+        text = mix64((sums[hi + min_length - 1] - sums[lo]) * roll.inverse[lo] + (hi - lo).astype(np.uint64))
+    return lo, hi, low[lo], text
+
+
+def shared_stretches(docs: DataFrame, min_length: int = 200) -> DataFrame:
+    """(doc_id, pos, stop): all windows that start from pos on and before stop stand in another record as well.
 
     docs: doc_id long, text string.
     """
@@ -122,23 +142,53 @@ def shared_windows(docs: DataFrame, min_length: int = 200) -> DataFrame:
     known = _shared(spread(docs).mapInArrow(anchors, _ROWS)).groupBy("doc_id").agg(F.collect_set("h").alias("known"))
     left = cut_lineage(docs.join(known, "doc_id"), "spans")
 
+    def of_runs(roll: RollingHash, text: str, known: pa.ListScalar):
+        sums = roll.prefix(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
+        return sums, _runs(sums, roll, known.values.to_numpy().view(np.uint64), min_length)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roll = RollingHash()
+        for b in batches:
+            ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
+            for lo, hi in slices(texts):
+                rows = [(of_runs(roll, texts[i], b.column(2)[i])[1], ids[i]) for i in range(lo, hi)]
+                h, at = (np.concatenate([r[k] for r, _ in rows]) for k in (3, 0))
+                doc = np.concatenate([np.full(len(r[0]), d, np.int64) for r, d in rows])
+                if (out := _emit(h, doc, at.astype(np.int32))) is not None:
+                    yield out
+
+    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roll = RollingHash()
+        for b in batches:
+            ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
+            for i, t in enumerate(texts):
+                _, (lo, hi, core, _h) = of_runs(roll, t, b.column(2)[i])
+                done = b.column(3)[i]
+                ok = np.isin(lo, done.values.to_numpy()) if done.is_valid else np.zeros(len(lo), bool)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lo), ids[i], np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(core.view(np.int64)), pa.array(ok)], names=["doc_id", "pos", "stop", "core", "ok"])
+
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = RollingHash()
         for b in batches:
-            ids, texts, known = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist(), b.column(2)
+            ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
             for lo, hi in slices(texts):
                 hs, ds, ps = [], [], []
                 for i in range(lo, hi):
                     sums = roll.prefix(np.frombuffer(texts[i].encode("utf-32-le", "surrogatepass"), np.uint32))
-                    low = sliding(np.minimum, roll.windows(sums, gram), reach)
-                    at = np.flatnonzero(np.isin(low, known[i].values.to_numpy().view(np.uint64)))
+                    at = np.concatenate([np.arange(x, y) for x, y in zip(b.column(2)[i].as_py(), b.column(3)[i].as_py())])
                     hs.append(roll.windows(sums, min_length)[at])
                     ds.append(np.full(len(at), ids[i], np.int64))
                     ps.append(at.astype(np.int32))
                 if hs and (out := _emit(np.concatenate(hs), np.concatenate(ds), np.concatenate(ps))) is not None:
                     yield out
 
-    return _shared(left.select("doc_id", "text", "known").mapInArrow(windows, _ROWS)).select("doc_id", "pos")
+    settled = _shared(left.mapInArrow(blocks, _ROWS)).groupBy("doc_id").agg(F.collect_list("pos").alias("done"))
+    runs = cut_lineage(left.join(settled, "doc_id", "left").mapInArrow(cores, "doc_id long, pos int, stop int, core long, ok boolean"), "spans")
+    # a run is open while a record of the same core isn't settled: then its windows are counted one by one
+    mixed = runs.groupBy("core").agg(F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2"), F.min("ok").alias("all_ok")).where("d1 <> d2 AND NOT all_ok").select("core")
+    todo = runs.join(mixed, "core", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("x"), F.collect_list("stop").alias("y"))
+    fine = _shared(left.select("doc_id", "text").join(todo, "doc_id").mapInArrow(windows, _ROWS)).select("doc_id", "pos", (F.col("pos") + 1).alias("stop"))
+    return runs.where("ok").select("doc_id", "pos", "stop").union(fine)
 
 
 def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 200) -> DataFrame:
@@ -155,21 +205,23 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             if not b.num_rows:
                 continue
-            d = b.column(0).to_numpy(zero_copy_only=False)
-            p = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (p[1:] > p[:-1] + min_length))))
-            starts, ends, owners = p[new], p[np.concatenate((new[1:], [len(p)])) - 1] + min_length, d[new]
-            if doc is not None and owners[0] == doc and starts[0] <= end:
-                starts[0] = begin
-            elif doc is not None:
-                starts, ends, owners = np.append(begin, starts), np.append(end, ends), np.append(doc, owners)
+            d, p, q = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            q = q + (min_length - 1)
+            if doc is not None:
+                d, p, q = np.append(doc, d), np.append(begin, p), np.append(end, q)
+            # the furthest end so far within each record: records are told apart by a step larger than any text
+            far = np.cumsum(np.concatenate(([0], d[1:] != d[:-1]))) << 40
+            reach = np.maximum.accumulate(q + far)
+            new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (p[1:] + far[1:] > reach[:-1]))))
+            stop = np.concatenate((new[1:], [len(p)])) - 1
+            owners, starts, ends = d[new], p[new], reach[stop] - far[stop]
             doc, begin, end = owners[-1], starts[-1], ends[-1]
             if len(owners) > 1:
                 yield pa.RecordBatch.from_arrays([pa.array(x[:-1]) for x in (owners, starts, ends)], names=["doc_id", "span_start", "span_end"])
         if doc is not None:
             yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in (doc, begin, end)], names=["doc_id", "span_start", "span_end"])
 
-    rows = shared_windows(docs, min_length)
+    rows = shared_stretches(docs, min_length)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "pos").mapInArrow(merge, "doc_id long, span_start long, span_end long")
 
