@@ -75,8 +75,8 @@ def _step(seed: int, turn: int, final: bool):
     def step(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id", kind="stable").reset_index(drop=True)
         rng = np.random.default_rng([seed, turn, int(key[1]), sum(str(key[0]).encode())])
-        # in random order, so that neighbouring ids don't decide each other
-        pdf = pdf.iloc[rng.permutation(len(pdf))].reset_index(drop=True)
+        # long texts first, so that short ones are left for the landing; equal ones in random order
+        pdf = pdf.iloc[rng.permutation(len(pdf))].sort_values("n_tokens", ascending=False, kind="stable").reset_index(drop=True)
         size = pdf["n_tokens"].to_numpy()
         p = flight(pdf["p"].to_numpy(), size, rng)
         pdf["p"] = landing(p, size) if final else p
