@@ -6,13 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, packing, spans
+from . import consensus, defects, formatting, mixing, neardup, packing, spans
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return defects.defects(table(spark, sf_dir, "teacher_titles"), table(spark, sf_dir, "messages")).select("run_id", "defect")
+
+
+def _consensus(spark: SparkSession, sf_dir: str) -> consensus.Consensus:
+    return consensus.Consensus(table(spark, sf_dir, "gold_consensus"), table(spark, sf_dir, "annotator_titles"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consensus(spark, sf_dir).labels().where("label = 1").select("k", "word_pos")
+
+
+def p2_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consensus(spark, sf_dir).agreement()
+
+
+def p2_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consensus(spark, sf_dir).reliability()
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.NearDuplicates(table(spark, sf_dir, "documents"), words=3, threshold=0.8).pairs().select("doc_id_1", "doc_id_2")
 
@@ -21,6 +41,14 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.NearDuplicates(table(spark, sf_dir, "documents"), words=3, threshold=0.8).groups()
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formatting.pairs(table(spark, sf_dir, "messages"))
+
+
+def p4_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formatting.collapsed(table(spark, sf_dir, "messages"))
+
+
 def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_limits"))
 
@@ -50,7 +78,7 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (p3_found, p3_groups, p8_packing, p8_filled, p9_mixture, p9_shares, p10_found, p10_share)
+    each = (p1_found, p2_found, p2_agreement, p2_reliability, p3_found, p3_groups, p4_found, p4_collapsed, p8_packing, p8_filled, p9_mixture, p9_shares, p10_found, p10_share)
     return {f.__name__: f for f in each}
 
 
