@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import consensus, defects, formatting, mixing, neardup, packing, spans
+from . import consensus, defects, formatting, mixing, neardup, packing, personal, spans, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,34 @@ def p4_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatting.collapsed(table(spark, sf_dir, "messages"))
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "messages"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).where("is_toxic").select("id")
+
+
+def p5_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir)
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rates(_scored(spark, sf_dir))
+
+
+def _personal(spark: SparkSession, sf_dir: str) -> personal.PersonalInformation:
+    return personal.PersonalInformation(table(spark, sf_dir, "documents"), table(spark, sf_dir, "given_names"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _personal(spark, sf_dir).pieces()
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _personal(spark, sf_dir).redacted()
+
+
 def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_limits"))
 
@@ -78,7 +106,7 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (p1_found, p2_found, p2_agreement, p2_reliability, p3_found, p3_groups, p4_found, p4_collapsed, p8_packing, p8_filled, p9_mixture, p9_shares, p10_found, p10_share)
+    each = (p1_found, p2_found, p2_agreement, p2_reliability, p3_found, p3_groups, p4_found, p4_collapsed, p5_found, p5_scores, p5_rates, p6_found, p6_redacted, p8_packing, p8_filled, p9_mixture, p9_shares, p10_found, p10_share)
     return {f.__name__: f for f in each}
 
 
