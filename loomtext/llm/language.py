@@ -53,6 +53,8 @@ def _training(rows: list[tuple[str, str]], steps: int, batch: int, width: int, s
                     t = parts[int(rng.integers(len(parts)))]
                 kind = rng.random()
                 t = t.lower() if kind < 0.25 else t.upper() if kind < 0.35 else t
+                if rng.random() < 0.1:  # blanks of another sort
+                    t = t.replace(" ", ("\n", " \n ", "\t", "\xa0")[int(rng.integers(4))])
                 glue = ("", " ", "\n", "\n\n", " -- ", ". ")[int(rng.integers(6))] if k else ""
                 raw = (glue + t).encode()
                 room = width - at
@@ -69,7 +71,7 @@ def _training(rows: list[tuple[str, str]], steps: int, batch: int, width: int, s
         yield x, n, y
 
 
-def fit(messages: DataFrame, sample_rows: int = 6000, steps: tuple[int, int] = (170, 330), batch: int = 96, width: int = 144, hidden: int = 32, seed: int = 7) -> ByteGRU:
+def fit(messages: DataFrame, sample_rows: int = 6000, steps: tuple[int, int] = (170, 280), batch: int = 96, width: int = 144, hidden: int = 32, seed: int = 7) -> ByteGRU:
     """Trains on a sample of at most about ``sample_rows`` labelled messages, chosen by the hash of the id.
 
     Labels are wrong at times and texts mixed, so the first steps' network picks the texts that are in the language of their label
@@ -85,12 +87,12 @@ def fit(messages: DataFrame, sample_rows: int = 6000, steps: tuple[int, int] = (
     net = ByteGRU(len(LANGUAGES), hidden, seed)
     if not sample:
         return net
-    net.train(_training(sample, steps[0], batch, width, seed))
+    net.train(_training(sample, steps[0], batch, width, seed), rate=0.03)
     found = label_texts(net, [t for t, _ in sample], [None] * len(sample))
     clean = [x for x, f in zip(sample, found) if len(f) == 1 and f[0][0] == x[1]]
     if len({lang for _, lang in clean}) == len({lang for _, lang in sample}):
         sample = clean
-    net.train(_training(sample, steps[1], batch, width, seed + 1), rate=0.006)
+    net.train(_training(sample, steps[1], batch, width, seed + 1), rate=0.02)
     return net
 
 
@@ -129,7 +131,8 @@ def _pieces(raw: bytes) -> Iterator[tuple[int, int]]:
     """Begin and end of the sentences of a text."""
     at = 0
     for m in _BREAK.finditer(raw):
-        if m.end() > at:
+        # a line of a word or two is a broken line, not a sentence
+        if m.end() > at and (m[0][:1] in b".?!;:\xa6" or len(raw[at : m.start()].split()) > 3):
             yield at, m.end()
             at = m.end()
     if at < len(raw):
@@ -145,7 +148,7 @@ def _costs(raw: bytes, cheap: float, dear: float) -> tuple[np.ndarray, np.ndarra
     speaks = np.ones(len(raw), bool)
     for b, e in _pieces(raw):
         cost[b] = cheap
-        piece = raw[b:e]
+        piece = raw[b:e].replace(b">>", b"").replace(b"--", b"")
         if b'":' not in piece and len(_CODE.findall(piece)) >= 2:
             speaks[b:e] = False
     return cost, speaks if speaks.any() else np.ones(len(raw), bool)
@@ -166,13 +169,13 @@ def _chunks(raw: bytes) -> Iterator[tuple[int, bytes]]:
 
 
 def label_texts(
-    net: ByteGRU, texts: list[str | None], labels: list[str | None], cheap: float = 12.0, dear: float = 60.0, floor: float = -4.0, min_words: int = 3, min_letters: int = 12, doubt: float = 14.0
+    net: ByteGRU, texts: list[str | None], labels: list[str | None], cheap: float = 12.0, dear: float = 60.0, floor: float = -4.0, min_words: int = 3, min_letters: int = 12, doubt: float = 14.0, trust: float = 0.88
 ) -> list[list[tuple[str, float, int, int]]]:
     """Per text the segments (language, confidence, begin, end) in code points, in order.
 
     A stretch with fewer than ``min_words`` words or ``min_letters`` letters, or that is less than ``doubt`` nats likelier in its own language than
-    in that of the text, is no segment of its own; and a text that is less than that likelier in another language than its label's
-    keeps the label.
+    in that of the text or has a confidence below ``trust``, is no segment of its own; and a text that is no surer than that to be in
+    another language than its label's keeps the label.
     """
     raw = [(t or "").encode("utf-8", "replace") for t in texts]
     units = [(i, at, part) for i, t in enumerate(texts) if t and _LETTERS.search(t) for at, part in _chunks(raw[i])]
@@ -189,7 +192,8 @@ def label_texts(
         lengths = np.array([len(u[2]) for u in part], np.int64)
         steps = int(lengths.max())
         x = np.frombuffer(b"".join(u[2].ljust(steps, b"\0") for u in part), np.uint8).reshape(len(part), steps)
-        logp = np.maximum(net.scores(x, lengths), np.float32(floor))
+        full = net.scores(x, lengths)
+        logp = np.maximum(full, np.float32(floor))
         cost = np.full(x.shape, np.inf)
         for row, (_, _, r) in enumerate(part):
             cost[row, : len(r)], speaks = _costs(r, cheap, dear)
@@ -199,27 +203,28 @@ def label_texts(
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(best[row, : len(r)])) + 1, [len(r)]))
             for b, e in zip(cuts[:-1], cuts[1:]):
                 s = r[b:e].decode("utf-8", "ignore")
-                found.setdefault(i, []).append([int(best[row, b]), logp[row, b:e].sum(axis=0, dtype=np.float64), int(np.count_nonzero(logp[row, b:e, 0])), offset + int(b), offset + int(e), len(_WORDS.findall(s)), len(_LETTERS.findall(s))])
+                found.setdefault(i, []).append([int(best[row, b]), logp[row, b:e].sum(axis=0, dtype=np.float64), int(np.count_nonzero(logp[row, b:e, 0])), offset + int(b), offset + int(e), len(_WORDS.findall(s)), len(_LETTERS.findall(s)), np.exp(full[row, b:e]).sum(axis=0, dtype=np.float64)])
     out: list[list[tuple[str, float, int, int]]] = [[] for _ in texts]
+    sure = lambda p: float(p[7][p[0]] / (p[4] - p[3]))
     for i, parts in found.items():
         parts.sort(key=lambda p: p[3])
         merged: list[list] = []
         for p in parts:
             if merged and merged[-1][0] == p[0]:
                 q = merged[-1]
-                q[1], q[2], q[4], q[5], q[6] = q[1] + p[1], q[2] + p[2], p[4], q[5] + p[5], q[6] + p[6]
+                q[1], q[2], q[4], q[5], q[6], q[7] = q[1] + p[1], q[2] + p[2], p[4], q[5] + p[5], q[6] + p[6], q[7] + p[7]
             else:
                 merged.append(p)
         main = max(merged, key=lambda p: (p[2], p[6]))[0]
-        kept = [p for p in merged if p[0] == main or p[5] >= min_words and p[6] >= min_letters and p[1][p[0]] - p[1][main] >= doubt]
+        kept = [p for p in merged if p[0] == main or p[5] >= min_words and p[6] >= min_letters and p[1][p[0]] - p[1][main] >= doubt and sure(p) >= trust]
         label = LANGUAGES.index(labels[i]) if labels[i] in LANGUAGES else None
-        if label is not None and label != main and all(p[0] == main for p in kept) and sum(p[1][main] - p[1][label] for p in kept) < doubt:
+        if label is not None and label != main and all(p[0] == main for p in kept) and (sum(p[1][main] - p[1][label] for p in kept) < doubt or max(map(sure, kept)) < trust):
             for p in kept:
                 p[0] = label
-        for lang, logs, n, begin, end, _, _ in kept:
-            sure = float(np.exp((logs[lang] - np.logaddexp.reduce(logs / max(1, n)) * max(1, n)) / max(1, n))) if n else 0.0
+        for p in kept:
+            begin, end = p[3:5]
             first = len(raw[i][:begin].decode("utf-8", "ignore"))
-            out[i].append((LANGUAGES[lang], round(sure, 6), first, first + len(raw[i][begin:end].decode("utf-8", "ignore"))))
+            out[i].append((LANGUAGES[p[0]], round(sure(p), 6), first, first + len(raw[i][begin:end].decode("utf-8", "ignore"))))
     return out
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import consensus, defects, formatting, mixing, neardup, packing, personal, spans, toxicity
+from . import consensus, defects, formatting, language, mixing, neardup, packing, personal, spans, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,22 @@ def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _personal(spark, sf_dir).redacted()
 
 
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.segments(table(spark, sf_dir, "messages"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.doubtful(_segments(spark, sf_dir))
+
+
+def p7_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.documents(_segments(spark, sf_dir))
+
+
+def p7_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segments(spark, sf_dir)
+
+
 def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_limits"))
 
@@ -106,7 +122,7 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (p1_found, p2_found, p2_agreement, p2_reliability, p3_found, p3_groups, p4_found, p4_collapsed, p5_found, p5_scores, p5_rates, p6_found, p6_redacted, p8_packing, p8_filled, p9_mixture, p9_shares, p10_found, p10_share)
+    each = (p1_found, p2_found, p2_agreement, p2_reliability, p3_found, p3_groups, p4_found, p4_collapsed, p5_found, p5_scores, p5_rates, p6_found, p6_redacted, p7_found, p7_languages, p7_segments, p8_packing, p8_filled, p9_mixture, p9_shares, p10_found, p10_share)
     return {f.__name__: f for f in each}
 
 
