@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus
+from . import corpus, scores, titles
 
-MODULES = (corpus,)
+MODULES = (corpus, titles, scores)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
