@@ -32,5 +32,7 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """At least one partition per core for an expensive stage; inputs that already have them stay as they are."""
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -74,22 +74,23 @@ def with_offsets(pieces: Column) -> Column:
 def word_numbers(pieces: Column) -> Column:
     """Word number of each piece, from 0: a word begins at white space, and at any change between letters or digits and other marks,
     but for a joiner between two letters or digits. Computed over array of strings that adjoin."""
-    body = lambda p: F.regexp_replace(p, f"^[{T.SPACE}]+", "")
+    solid, joiner = r"[\p{L}\p{N}]", f"[{JOINERS}]"
     zero = F.expr("named_struct('n', -1, 'prev', '', 'out', cast(array() as array<int>))")
-    alnum = r"^[\p{L}\p{N}]"
-
-    def step(acc: Column, p: Column) -> Column:
-        b = body(p)
-        glued = (
-            (acc["prev"] != "")
-            & (b != "")
-            & (F.length(b) == F.length(p))
-            & ((b.rlike(alnum) & acc["prev"].rlike(f"[\\p{{L}}\\p{{N}}{JOINERS}]$")) | (b.rlike(f"^[{JOINERS}]$") & acc["prev"].rlike(r"[\p{L}\p{N}]$")) | (~b.rlike(alnum) & ~b.rlike(f"^[{JOINERS}]$") & acc["prev"].rlike(r"[^\p{L}\p{N}]$")))
-        )
-        n = acc["n"] + F.when(glued, 0).otherwise(1)
-        return F.struct(n.alias("n"), F.when(b == "", F.lit("")).otherwise(p).alias("prev"), F.concat(acc["out"], F.array(n)).alias("out"))
-
-    return F.aggregate(pieces, zero, step, lambda acc: acc["out"])
+
+    def step(acc: Column, x: Column) -> Column:
+        piece, after = x["p"], F.coalesce(x["q"], F.lit(""))
+        tight = (acc["prev"] != "") & ~piece.rlike(f"^[{T.SPACE}]")
+        # a joiner counts only between two letters or digits; it may be a piece or the head of one
+        joins = acc["prev"].rlike(f"{solid}$") & (piece.rlike(f"^{joiner}{solid}") | (piece.rlike(f"^{joiner}$") & after.rlike(f"^{solid}")))
+        joined = piece.rlike(f"^{solid}") & acc["prev"].rlike(f"({solid}|{solid}{joiner}|^{joiner})$")
+        marks = piece.rlike(f"^[^\\p{{L}}\\p{{N}}{JOINERS}]") & acc["prev"].rlike(r"[^\p{L}\p{N}]$")
+        n = acc["n"] + F.when(tight & (joins | joined | marks), 0).otherwise(1)
+        loose = piece.rlike(f"^{joiner}$") & ~joins
+        prev = F.when(piece.rlike(f"^[{T.SPACE}]*$"), F.lit("")).when(loose, F.lit("|")).otherwise(piece)
+        return F.struct(n.alias("n"), prev.alias("prev"), F.concat(acc["out"], F.array(n)).alias("out"))
+
+    following = F.slice(F.concat(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), F.array(F.lit(""))), 1, F.size(pieces))
+    return F.aggregate(F.arrays_zip(pieces.alias("p"), following.alias("q")), zero, step, lambda acc: acc["out"])
 
 
 def merge_intervals(spans: Column) -> Column:

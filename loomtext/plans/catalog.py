@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, scores, titles
+from . import corpus, models, scores, titles
 
-MODULES = (corpus, titles, scores)
+MODULES = (corpus, titles, scores, models)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,8 +83,10 @@ BAND = "CASE WHEN agreement < 0.25 THEN '[0, .25)' WHEN agreement < 0.4 THEN '[.
 
 def align_exact(spark, sf):
     """Titles in order of the message, by the cursor rule over bare words; only titles all of whose words occur."""
-    d = _runs(spark, sf).join(_messages(spark, sf), "id").withColumn("w", T.bare_words(F.lower("title"))).withColumn("m", T.bare_words(F.lower(F.substring("text", 1, O.LIMIT))))
-    d = d.where("size(w) > 0").withColumn("a", O.align_cursor(F.col("w"), F.col("m")))
+    w, m = T.bare_words(F.lower("title")), T.bare_words(F.lower(F.substring("text", 1, O.LIMIT)))
+    # one row as an exploded array: filters behind it don't compute the alignment again
+    aligned = F.explode(F.array(T.let(w, lambda x: T.let(m, lambda y: F.when(F.size(x) > 0, O.align_cursor(x, y)))))).alias("a")
+    d = _runs(spark, sf).join(_messages(spark, sf), "id").select("run_id", aligned).where("a IS NOT NULL")
     return d.where(~F.array_contains("a.at", 0)).select("run_id", F.col("a.ordered").alias("ordered"), F.element_at("a.at", 1).alias("first_word"), F.element_at("a.at", -1).alias("last_word"))
 
 

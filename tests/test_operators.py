@@ -1,0 +1,125 @@
+"""Operators against plain Python on small tables: ties, nulls, repeated rows, empty tables."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from loomtext.functions import text as T
+from loomtext.operators import components, corpus, decode, sampling, scores, titles
+
+
+def test_first_and_last_wins(spark):
+    d = spark.createDataFrame([(2, "a", "x"), (1, "a", "y"), (3, "b", None), (4, None, "z"), (1, "a", "y")], "o int, k string, v string")
+    assert sorted(map(tuple, sampling.first_wins(d, "k", "o").collect())) == [(1, "a", "y"), (3, "b", None)]
+    assert (2, "a", "x") in map(tuple, sampling.last_wins(d, ["k"], "o").collect())
+    assert sampling.first_wins(d.where("false"), "k", "o").count() == 0
+
+
+@pytest.mark.parametrize("n,take", [(100, 7), (10, 10), (5, 9), (97, 96), (0, 3)])
+def test_systematic(spark, n, take):
+    d = spark.range(n).select((F.lit(n) - F.col("id")).alias("v"))
+    got = sorted(r[0] for r in sampling.systematic(d, take, "v").collect())
+    rows = sorted(range(1, n + 1))
+    assert got == (rows if n <= take else [rows[int(i * (n / take))] for i in range(take)])
+
+
+def test_water_fill_and_split(spark):
+    assert sampling.water_fill({"a": 3, "b": 10, "c": 5}, ["a", "b", "c"], 8) == {"a": 3, "b": 5}
+    assert sampling.eval_size(13_000) == (800, False, 0) and sampling.eval_size(5_000) == (300, True, 7_250)
+    d = spark.createDataFrame([(s, i) for s, n in (("a", 3), ("b", 10), ("c", 5)) for i in range(n)], "s string, i int")
+    out = sampling.fill_by_priority(d, "s", ["a", "b", "c"], 8, "i")
+    assert {r[0]: r[1] for r in out.groupBy("s").count().collect()} == {"a": 3, "b": 5}
+    parts = {r[0]: r[1] for r in sampling.split_eval(spark.range(50), 20, "id").groupBy("split").count().collect()}
+    assert parts == {"eval": 20, "train": 30}
+
+
+def test_near_dedupe_is_not_components(spark):
+    """A~B~C with A and C apart: B goes, C stays."""
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = words[:50], words[2:52], words[4:54]
+    d = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c)), (4, " ".join(a).upper()), (5, None), (6, "?!"), (7, "...")], "id long, text string")
+    keys = {}
+    for r in corpus.band_keys(d.where("text IS NOT NULL"), "id", "text").collect():
+        keys.setdefault(r.id, set()).add((r.band, r.key))
+    kept, seen = [], set()
+    for i in (1, 2, 3, 6, 7):
+        if not any(keys[i] & keys[k] for k in kept) and i not in seen:
+            kept.append(i)
+    assert sorted(r.id for r in corpus.near_dedupe(d, "id").collect()) == kept
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(None, 1), (5, 5)]
+    parent = {x: x for e in edges if None not in e for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    want = {x: find(x) for e in edges if None not in e and e[0] != e[1] for x in e}
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a int, b int")).collect()}
+    assert got == want
+    assert components.connected_components(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+def words(*scored):
+    return [(w, i, i + 1, s) for i, (w, s) in enumerate(scored)]
+
+
+@pytest.mark.parametrize(
+    "rows,mode,budget,want",
+    [
+        (words(("a", 0.1), ("b", 0.2)), "hybrid", None, "a b"),
+        (words(("a", 0.9), ("b", 0.1), ("c", 0.9), ("d", 0.2), ("e", 0.3)), "hybrid", None, "a c e"),
+        (words(("a", 0.6), ("b", 0.6), ("c", 0.6), ("d", 0.6), ("e", 0.1)), "hybrid", None, "a b c d"),
+        (words(("a", 0.5), ("b", 0.5), ("c", 0.5)), "budget", 2, "a b"),
+        (words(("a", 0.5), ("b", 0.5)), "budget", 0, ""),
+        (words(("...", 0.9), ("a", 0.5)), "threshold", None, "a"),
+        ([], "hybrid", None, ""),
+    ],
+)
+def test_decode(spark, rows, mode, budget, want):
+    d = spark.createDataFrame([(rows,)], "w array<struct<word:string,start:int,end:int,score:double>>")
+    assert d.select(decode.join_words(decode.choose(F.col("w"), mode, budget))).first()[0] == want
+
+
+def test_stop_words_stay_when_few_are_left(spark):
+    d = spark.createDataFrame([(words(("the", 0.9), ("a", 0.9), ("of", 0.9), ("cat", 0.1)),)], "w array<struct<word:string,start:int,end:int,score:double>>")
+    assert d.select(decode.join_words(decode.choose(F.col("w"), "budget", 4, ["the", "a", "of"]))).first()[0] == "the a of cat"
+
+
+def test_intervals(spark):
+    d = spark.createDataFrame([([(5, 7), (1, 3), (3, 4), (6, 9)],), ([],)], "s array<struct<start:int,end:int>>")
+    assert [[tuple(x) for x in r[0]] for r in d.select(decode.merge_intervals(F.col("s"))).collect()] == [[(1, 4), (5, 9)], []]
+
+
+@pytest.mark.parametrize("text,n", [("co-op's plan", 2), ("a, b", 3), ("", None), ("x -- y", 3), ("don’t", 1)])
+def test_word_numbers(spark, text, n):
+    r = spark.createDataFrame([(text,)], "t string").select(decode.word_numbers(T.pre_split("t"))).first()[0]
+    assert (max(r) + 1 if r else None) == n
+
+
+def test_confusion_stops_at_the_shorter(spark):
+    d = spark.createDataFrame([([1, 0, 1, 1], [1, 1, 0]), ([], [1])], "pred array<int>, gold array<int>")
+    assert tuple(scores.micro(d).first())[:3] == (1, 1, 1)
+    assert scores.micro(d.where("false")).first().f1 == 0.0
+
+
+def test_alignment(spark):
+    d = spark.createDataFrame([(["b", "a"], ["a", "b", "c"]), (["a", "c"], ["a", "b", "c"]), (["z"], ["a"])], "w array<string>, m array<string>")
+    got = [(list(r[0].at), r[0].ordered) for r in d.select(titles.align_cursor(F.col("w"), F.col("m"))).collect()]
+    assert got == [([2, 1], False), ([1, 3], True), ([0], False)]
+
+
+def test_funnel_nulls(spark):
+    rows = [("English", None, [("user", "x" * 25)]), ("English", True, [("user", "y")]), ("English", False, []), ("English", False, None), ("French", False, [("system", "s")]), (None, None, [("user", None)])]
+    d = spark.createDataFrame(rows, "language string, toxic boolean, conversation array<struct<role:string,content:string>>")
+    assert tuple(corpus.funnel(d, ["English"], True).first()) == (6, 3, 1, 1)
+    assert tuple(corpus.funnel(d, ["English"], False).first()) == (6, 2, 0, 0)
