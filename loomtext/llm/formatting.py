@@ -112,20 +112,21 @@ def copies(messages: DataFrame, id_col: str = "id", text_col: str = "text") -> D
     src = messages.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     rows = cut_lineage(_rows(src), "prints")
     # words of a field list lead a text without the layout to the list
-    twin = rows.where("field_hi IS NOT NULL").groupBy("word_hi", "word_lo").agg(F.min(F.struct("field_hi", "field_lo")).alias("twin"))
-    keyed = rows.join(twin, ["word_hi", "word_lo"], "left").select("id", "content", F.coalesce("twin.field_hi", "word_hi").alias("hi"), F.coalesce("twin.field_lo", "word_lo").alias("lo"))
+    twin = rows.where("field_hi IS NOT NULL").groupBy("word_hi", "word_lo").agg(F.min(F.struct("field_hi", "field_lo", "content")).alias("twin"))
+    keyed = rows.join(twin, ["word_hi", "word_lo"], "left").select("id", "content", F.when(F.col("field_hi").isNull(), F.col("twin.content")).alias("via"), F.coalesce("twin.field_hi", "word_hi").alias("hi"), F.coalesce("twin.field_lo", "word_lo").alias("lo"))
     # one row an id and content; the partial aggregation takes repeated rows off before the shuffle
-    group = keyed.groupBy("hi", "lo").agg(F.min(F.struct("id", "content")).alias("first"), F.max("id").alias("last"))
+    group = keyed.groupBy("hi", "lo").agg(F.min(F.struct("id", F.coalesce("via", "content").alias("content"))).alias("first"), F.max("id").alias("last"))
     many = group.where("first.id <> last").select("hi", "lo", F.col("first.id").alias("first_id"), F.col("first.content").alias("first_content"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own, first = b.column(0).to_pylist(), b.column(1).to_pylist()
-            ok = [y is not None and _same(x, y) for x, y, in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            # words without a layout are compared with the list that has them, and that list with the first
+            ok = [y is not None and (_same(x, y) if v is None else _same(x, v) and _same(v, y)) for x, v, y in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f if k else o for o, f, k in zip(own, first, ok)], b.column(0).type)], names=["id", "first_id"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return keyed.join(many, ["hi", "lo"], "left").select("id", "first_id", "content", "first_content").mapInArrow(verify, f"id {kind}, first_id {kind}").groupBy("id").agg(F.min("first_id").alias("first_id"))
+    return keyed.join(many, ["hi", "lo"], "left").select("id", "first_id", "content", "via", "first_content").mapInArrow(verify, f"id {kind}, first_id {kind}").groupBy("id").agg(F.min("first_id").alias("first_id"))
 
 
 def pairs(messages: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:

@@ -84,6 +84,8 @@ def pack_items(sizes: DataFrame, limits: DataFrame, id_col: str = "doc_id", size
     """
     spark = sizes.sparkSession
     caps = {r[0]: int(r[1]) for r in limits.where("capacity_tokens > 0").select("limit_name", "capacity_tokens").distinct().collect()}
+    if not caps:
+        return sizes.where("false").select(F.lit("").alias("limit_name"), F.lit(0).cast("long").alias("capacity"), id_col, *(F.lit(0).cast("long").alias(c) for c in ("piece", "n_tokens", "container")))
     items = cut_lineage(sizes.select(F.col(id_col).alias("_id"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("n")), "sizes")
     lim = F.array(*[F.struct(F.lit(k).alias("limit_name"), F.lit(v).cast("long").alias("capacity")) for k, v in sorted(caps.items())])
     pieces = (
