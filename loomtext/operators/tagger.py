@@ -83,13 +83,13 @@ class Tagger:
         out = _norm(x, w["norm.weight"], w["norm.bias"]) @ w["head.weight"].T + w["head.bias"]
         return [out[i, : len(b), 0] for i, b in enumerate(batch)]
 
-    def words(self, texts: list[str], size: int = 32) -> list[list[dict]]:
+    def words(self, texts: list[str], budget: int = 16_384) -> list[list[dict]]:
         """Scored words of each text: groups of tokens by the word rules, with the sigmoid of their mean logit. Groups without letter or digit are left out."""
         encoded = [self.tokenizer.encode(t) for t in texts]
         order = sorted(range(len(texts)), key=lambda i: len(encoded[i][0]))
         out: list[list[dict]] = [[] for _ in texts]
-        for lo in range(0, len(order), size):
-            part = order[lo : lo + size]
+        for lo, hi in length_batches([len(encoded[i][0]) for i in order], budget):
+            part = order[lo:hi]
             for i, z in zip(part, self.logits([encoded[i][0] for i in part])):
                 spans = encoded[i][1]
                 for group in group_tokens(texts[i], spans):
@@ -100,6 +100,17 @@ class Tagger:
         return out
 
 
+def length_batches(lengths: list[int], budget: int = 16_384, multiple: int = 32) -> Iterator[tuple[int, int]]:
+    """Ranges of ascending lengths whose number times their longest, rounded up to ``multiple``, is within ``budget``; one too long stands alone."""
+    begin = 0
+    for i, n in enumerate(lengths):
+        if i > begin and (i - begin + 1) * (-(-n // multiple) * multiple) > budget:
+            yield begin, i
+            begin = i
+    if begin < len(lengths):
+        yield begin, len(lengths)
+
+
 def group_tokens(text: str, spans: list[tuple[int, int]]) -> list[list[int]]:
     """Tokens by words. A word ends where white space does, and where letters or digits meet other marks, unless the mark is a joiner between two of them."""
     solid = lambda i: 0 <= i < len(text) and text[i].isalnum()

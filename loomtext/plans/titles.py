@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import labels as L
 from ..operators import sampling as S
 from ..operators import titles as O
 from . import sqltext as Q
@@ -233,7 +234,44 @@ def stem_and_edits(spark, sf):
 EDIT_SQL = f"""WITH w AS (SELECT w FROM (SELECT unnest({Q.runs('text', chr(92) + 'p{L}+')}) AS w FROM documents WHERE text IS NOT NULL) GROUP BY w HAVING count(*) >= 20 AND length(w) >= 5 AND regexp_matches(w, '^[a-z]+$'))
 SELECT a.w AS a, b.w AS b, {_stem('a.w')} AS stem_a, {_stem('b.w')} AS stem_b FROM w a, w b WHERE a.w < b.w AND abs(length(a.w) - length(b.w)) <= 1 AND {_edit('a.w', 'b.w')}"""
 
+def usable_gold(spark, sf):
+    """Rows of the gold set that are scored, per bucket, where there are ten or more."""
+    g = L.usable_gold(_flagged(spark, sf))
+    return g.groupBy("bucket").agg(F.count("*").alias("n")).where("n >= 10")
+
+
+def _flagged(spark, sf):
+    g = read(spark, sf, "gold_consensus")
+    return g.withColumn("impossible", F.when(F.col("k") % 5 == 0, True)).withColumn("off_language", F.col("k") % 7 == 0)
+
+
+USABLE_SQL = f"SELECT bucket, count(*) AS n FROM gold_consensus WHERE k % 5 <> 0 AND k % 7 <> 0 AND {Q.strip("coalesce(title, '')")} <> '' GROUP BY bucket HAVING count(*) >= 10"
+
+
+def model_names(spark, sf):
+    """Version, scope and key of model files named after the serving instances."""
+    d = read(spark, sf, "teacher_titles").where("teacher_instance IS NOT NULL").select("teacher_instance").distinct()
+    name = F.concat(F.lit("titler-v1."), F.length("teacher_instance").cast("string"), F.lit("-"), F.col("teacher_instance"), F.lit("-int3.bin"))
+    version, scope, _ = L.file_parts(name)
+    return d.select(version.alias("version"), scope.alias("scope"), L.file_key(name, "1.2").alias("key"))
+
+
+NAMES_SQL = """WITH n AS (SELECT DISTINCT 'titler-v1.' || length(teacher_instance) || '-' || teacher_instance || '-int3.bin' AS name FROM teacher_titles WHERE teacher_instance IS NOT NULL),
+p AS (SELECT regexp_extract(name, '^titler-v([0-9.]+)-(.+)-int3\\.bin$', 1) AS version, regexp_extract(name, '^titler-v([0-9.]+)-(.+)-int3\\.bin$', 2) AS scope FROM n)
+SELECT version, scope, CASE WHEN version = '1.2' THEN scope ELSE scope || '@' || version END AS key FROM p"""
+
+
+def title_spans(spark, sf):
+    """Gold titles whose words stand in their text in order: number of words, first and last place."""
+    g = read(spark, sf, "gold_consensus").where("title IS NOT NULL AND text IS NOT NULL")
+    d = g.select("k", F.explode(F.array(L.title_spans(F.col("text"), F.col("title")))).alias("s")).where("size(s) > 0")
+    return d.select("k", F.size("s").alias("n_words"), F.element_at("s", 1)["start"].alias("first"), F.element_at("s", -1)["end"].alias("last"))
+
+
 QUERIES = {
+    "usable_gold": (usable_gold, USABLE_SQL),
+    "model_names": (model_names, NAMES_SQL),
+    "title_spans": (title_spans, None),
     "title_clean": (title_clean, CLEAN_SQL),
     "title_validity": (title_validity, VALID_SQL),
     "title_compliance": (title_compliance, COMPLY_SQL),

@@ -123,3 +123,26 @@ def test_funnel_nulls(spark):
     d = spark.createDataFrame(rows, "language string, toxic boolean, conversation array<struct<role:string,content:string>>")
     assert tuple(corpus.funnel(d, ["English"], True).first()) == (6, 3, 1, 1)
     assert tuple(corpus.funnel(d, ["English"], False).first()) == (6, 2, 0, 0)
+
+
+def test_labels_and_spans(spark):
+    from loomtext.operators import labels
+
+    d = spark.createDataFrame([("a cat_x cat Cat", "cat Cat"), ("the end", "the missing"), ("x", "")], "t string, w string")
+    got = [r[0] and [tuple(x) for x in r[0]] for r in d.select(labels.title_spans(F.col("t"), F.col("w"))).collect()]
+    assert got == [[(8, 11), (12, 15)], None, []]
+    e = spark.createDataFrame([("ab  cd ef", [(0, 2), (2, 6), (6, 9)], [(4, 5)]), ("", [], [])], "t string, tokens array<struct<start:int,end:int>>, spans array<struct<start:int,end:int>>")
+    assert [r[0] for r in e.select(labels.label_tokens(F.col("t"), F.col("tokens"), F.col("spans"))).collect()] == [[0, 1, 0], []]
+    s = labels.short_examples(spark.createDataFrame([("1", "hi, you"), ("2", "?!"), ("3", "")], "id string, text string"))
+    assert [[tuple(x) for x in r.spans] for r in s.collect()] == [[(0, 2), (4, 7)]]
+    f = spark.createDataFrame([([1], [0]), ([], []), ([1, 2], [0, 1])], "ids array<int>, labels array<int>")
+    assert labels.usable_examples(f).count() == 1
+
+
+def test_length_batches():
+    from loomtext.operators.tagger import length_batches
+
+    lengths = sorted(random.Random(0).choices(range(1, 400), k=300)) + [50_000]
+    got = list(length_batches(lengths))
+    assert [x for a, b in got for x in range(a, b)] == list(range(len(lengths)))
+    assert all(b - a == 1 or (b - a) * (-(-lengths[b - 1] // 32) * 32) <= 16_384 for a, b in got)
