@@ -126,5 +126,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in each}
 
 
+#: All pairs by their shared runs of three words; all windows of 200 characters.
+SQL = {
+    "p3_found": """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 3),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+j AS (SELECT a.doc_id AS doc_id_1, b.doc_id AS doc_id_2, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT doc_id_1, doc_id_2 FROM j JOIN n x ON x.doc_id = doc_id_1 JOIN n y ON y.doc_id = doc_id_2 WHERE c >= 0.8 * (x.n + y.n - c)""",
+    "p10_found": """WITH p AS (SELECT doc_id, unnest(list_transform(range(length(text) - 199), lambda i: md5(substr(text, i + 1, 200)))) AS h, unnest(range(length(text) - 199)) AS s FROM documents WHERE length(text) >= 200),
+r AS (SELECT h FROM p GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+m AS (SELECT doc_id, s, CASE WHEN s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 200 THEN 1 ELSE 0 END AS new FROM p JOIN r USING (h)),
+i AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM m)
+SELECT doc_id, min(s) AS span_start, max(s) + 200 AS span_end FROM i GROUP BY doc_id, island""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
