@@ -34,7 +34,7 @@ def test_shingles(spark):
 
 
 def test_clean_title(spark):
-    assert column(spark, T.clean_title("s"), ['"A b."', "<think>x</think> «T» !", "<think>x", "first\nsecond", None, "  "]) == ["A b", "T", "", "first", "", ""]
+    assert column(spark, T.clean_title("s"), ['"A b."', "<think>x</think> «T!»", "<think>x", "first\nsecond", None, "  "]) == ["A b", "T", "", "first", "", ""]
     assert column(spark, T.is_refusal("s"), ["I'm sorry, no", "As an AI", "A title", None]) == [True, True, False, False]
 
 
@@ -45,7 +45,7 @@ def test_edits(spark, a, b, one, close):
 
 
 def test_stem(spark):
-    assert column(spark, T.stem(F.col("s")), ["walking", "boxes", "quickly", "sing", "cars", "red"]) == ["walk", "box", "quick", "sing", "cars", "red"]
+    assert column(spark, T.stem(F.col("s")), ["walking", "boxes", "bridges", "quickly", "sing", "cars", "red"]) == ["walk", "boxe", "bridg", "quick", "sing", "cars", "red"]
 
 
 def test_sets(spark):
