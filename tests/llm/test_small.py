@@ -344,3 +344,24 @@ def test_languages(spark):
     assert got == {"mix": {"English", "French"}, "miss": {"French"}, "wrong": {"English"}}
     assert language.documents(found).where("id = 'long'").count() == 1
     assert language.segments(d.where("false")).count() == 0
+
+
+def test_no_pair_at_the_threshold_is_pruned(spark):
+    tail = neardup.bits_tail(0.8)
+    band, bound = neardup.layout(0.8)
+    assert 0.003 < tail[80] < 0.005 and tail[bound] <= 5e-7 < tail[bound - 1]
+    assert (1 - 0.8**band) ** (neardup.SLOTS // band) <= 5e-7
+    with pytest.raises(ValueError):
+        neardup.layout(0.49)
+    # 40 shared runs of 50: similarity 0.8; of 3,000 such pairs those that differ in more than 80 bits
+    shingle, far = neardup.Shingler(3), []
+    for i in range(3000):
+        w = [f"w{i}x{k}" for k in range(52)]
+        pair = " ".join(w[:42]), " ".join(w)
+        a, b = (neardup.narrow(neardup.signature(shingle(t))[None]) for t in pair)
+        if np.bitwise_count(a ^ b).sum() > 80:
+            far.append(pair)
+    assert far
+    rows = [(2 * i + k, t) for i, p in enumerate(far) for k, t in enumerate(p)]
+    got = {(r.doc_id_1, r.doc_id_2) for r in neardup.NearDuplicates(docs(spark, rows), words=3).pairs().collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(len(far))}
