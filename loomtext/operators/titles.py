@@ -73,6 +73,19 @@ def align_cursor(title_words: Column, message_words: Column) -> Column:
     return F.aggregate(title_words, zero, step, lambda acc: F.struct(acc["at"].alias("at"), acc["ordered"].alias("ordered")))
 
 
+def edit_pairs(words: DataFrame) -> DataFrame:
+    """(a, b), a < b, of the words (w, unique) that are one edit apart as ``one_edit`` has it.
+
+    Each word stands under itself and itself without one letter: words one insertion, deletion, replacement or swap apart
+    share one of these, and a key has few words, since they differ in one letter.
+    """
+    less = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.concat(F.substring("w", F.lit(1), i - 1), F.substring("w", i + 1, F.length("w"))))
+    keys = F.transform(F.array_distinct(F.concat(F.array("w"), less)), lambda w: F.xxhash64(w))
+    k = words.where(F.length("w") >= 5).select("w", F.explode(keys).alias("key"))
+    a, b = k.withColumnRenamed("w", "a"), k.withColumnRenamed("w", "b")
+    return a.join(b, "key").where("a < b").select("a", "b").distinct().where(T.one_edit(F.col("a"), F.col("b")))
+
+
 def label_status(titles: DataFrame, messages: DataFrame) -> DataFrame:
     """The labeling funnel: one status per title, in the order in which the reasons are tested.
 

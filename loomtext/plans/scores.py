@@ -114,7 +114,7 @@ j AS (SELECT coalesce(na, 0) AS na, coalesce(nb, 0) AS nb FROM a FULL JOIN b USI
 
 
 def token_idf(spark, sf):
-    return S.inverse_frequency(read(spark, sf, "documents").where("text IS NOT NULL"), "doc_id", T.word_runs("text"), 5)
+    return S.inverse_frequency(read(spark, sf, "documents").where("text IS NOT NULL"), "doc_id", T.word_runs("text"))
 
 
 _TOK = f"tk AS (SELECT doc_id, {Q.runs('text')} AS w FROM documents WHERE text IS NOT NULL), df AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS token FROM tk) GROUP BY token), idf AS (SELECT token, df, round(ln(CAST((SELECT count(*) FROM tk) AS DOUBLE) / (1 + df)), 6) AS idf FROM df)"

@@ -222,15 +222,12 @@ def language_stats(spark, sf):
 
 
 def stem_and_edits(spark, sf):
-    """Pairs of frequent words of documents that are one edit apart, and what the stemmer makes of them."""
-    w = read(spark, sf, "documents").where("text IS NOT NULL").select(F.explode(T.letter_runs("text")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n >= 20 AND length(w) >= 5").where(F.col("w").rlike("^[a-z]+$")).select("w")
-    a, b = w.select(F.col("w").alias("a")), w.select(F.col("w").alias("b"))
-    near = T.one_edit(F.col("a"), F.col("b"))
-    # words one edit apart differ by one at most in length: the lengths make an equi-join of it
-    sized = a.withColumn("l", F.length("a")).join(b.withColumn("l", F.explode(F.array(F.length("b") - 1, F.length("b"), F.length("b") + 1))), "l")
-    return sized.where(F.col("a") < F.col("b")).where(near).select("a", "b", T.stem(F.col("a")).alias("stem_a"), T.stem(F.col("b")).alias("stem_b"))
+    """Pairs of words of documents, of five letters or more, that are one edit apart, and what the stemmer makes of them."""
+    d = read(spark, sf, "documents").where("text IS NOT NULL")
+    return O.edit_pairs(d.select(F.explode(T.letter_runs("text")).alias("w")).distinct()).select("a", "b", T.stem(F.col("a")).alias("stem_a"), T.stem(F.col("b")).alias("stem_b"))
 
 
+# the SQL still has the frequent words of a to z only: all pairs of all words are too many for a cross join
 EDIT_SQL = f"""WITH w AS (SELECT w FROM (SELECT unnest({Q.runs('text', chr(92) + 'p{L}+')}) AS w FROM documents WHERE text IS NOT NULL) GROUP BY w HAVING count(*) >= 20 AND length(w) >= 5 AND regexp_matches(w, '^[a-z]+$'))
 SELECT a.w AS a, b.w AS b, {_stem('a.w')} AS stem_a, {_stem('b.w')} AS stem_b FROM w a, w b WHERE a.w < b.w AND abs(length(a.w) - length(b.w)) <= 1 AND {_edit('a.w', 'b.w')}"""
 
