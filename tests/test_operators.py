@@ -174,3 +174,11 @@ def test_edit_pairs_against_brute_force(spark, tmp_path):
 def test_idf_has_rare_tokens(spark, tmp_path):
     spark.createDataFrame([(1, "one two two"), (2, "two"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {(r.token, r.df) for r in catalog.queries()["token_idf"](spark, str(tmp_path)).collect()} == {("one", 1), ("two", 2)}
+
+
+def test_site_cap_is_the_sites_number(spark, tmp_path):
+    spark.createDataFrame([("a", 12), ("b", 3), ("c", 0), ("d", None)], "site string, max_questions int").write.parquet(f"{tmp_path}/sites.parquet")
+    rows = [(f"{s}{i}", s) for s in ("a", "b", "c", "d", "?", None) for i in range(15)]
+    spark.createDataFrame(rows + rows[:5], "id string, site string").write.parquet(f"{tmp_path}/messages.parquet")
+    got = catalog.queries()["site_cap"](spark, str(tmp_path)).collect()
+    assert len(set(got)) == len(got) == 15 and sorted(r.site for r in got) == ["a"] * 12 + ["b"] * 3
