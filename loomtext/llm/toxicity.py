@@ -6,8 +6,10 @@ prior in proportion to the corpus (Monroe et al. 2008). From it the break-even o
 abusive passages; they are found from the counts as the border between the two upper parts of a mixture of binomials.
 
 A linear scan then finds every maximal scoring segment of a text (Ruzzo and Tompa 1999). Its score is
-calibrated by the extreme-value distribution of such maxima over texts that nobody flagged (Karlin and Altschul 1990), and a text
-is a case when a segment that high is expected by chance less than ``e_value`` times in it.
+calibrated by the extreme-value distribution of such maxima over texts that nobody flagged (Karlin and Altschul 1990). Each
+segment is tested by how often one that high is expected by chance in its text, and the r best of a text together by the distribution
+of the sum of their normalized scores (Karlin and Altschul 1993). A text has the score of the r that chance explains least, and is a case
+when that is expected less than ``e_value`` times. As several r are tried, r of 2 and more count 2 ** (r - 1) times.
 
 Spellings are evened out first: case, digits and signs for letters, letters apart, and masked letters, which may stand for any.
 
@@ -22,6 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -126,6 +129,31 @@ def segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(b, e, hi - lo) for b, e, lo, hi in found]
 
 
+def sum_chance(total: float, r: int, nodes: int = 400) -> float:
+    """P(the r best normalized scores, r of 2 or more, add up to more than ``total``), after Karlin and Altschul (1993).
+
+    It is the expectation over a gamma variable y of shape r - 1 of P(a gamma variable of shape r is under exp((y - total) / r)).
+    """
+    top = max(total, 0.0) + 2 * r + 40
+    y = (np.arange(nodes) + 0.5) * (top / nodes)
+    x = np.exp(np.minimum((y - total) / r, 700.0))
+    # the upper part of a Poisson law, from its r-th term on, is summed itself where it is small
+    low = np.minimum(x, r / 2)
+    term = np.exp(r * np.log(low) - low - math.lgamma(r + 1))
+    upper, k = term.copy(), r
+    while term.max() > 1e-17 and k < r + 200:
+        k += 1
+        term = term * low / k
+        upper += term
+    big, part, rest = np.minimum(x, 700.0), np.ones(nodes), np.ones(nodes)
+    for k in range(1, r):
+        part = part * big / k
+        rest += part
+    upper = np.where(x <= r / 2, upper, 1 - np.exp(np.log(rest) - big))
+    weight = np.exp((r - 2) * np.log(y) - y - math.lgamma(r - 1))
+    return float(min(1.0, (weight * upper).sum() * top / nodes))
+
+
 @dataclass
 class ToxicModel:
     table: dict[str, tuple[float, int]]  # run of words: score, support
@@ -162,6 +190,33 @@ class ToxicModel:
         b, e, s = max(found, key=lambda x: x[2])
         return s, len(words), words[b:e]
 
+    def judge(self, text: str | None, e_value: float = 0.01, min_score: float = 1.2) -> tuple[float, float, str, bool, list[tuple[str, float, float]]]:
+        """Score, chance, best passage, whether it is a case, and its significant passages (passage, score, chance) in order of the text.
+
+        Passages that are significant alone count, and those of the sum when the text is a case by it.
+        """
+        words = tokens(text)
+        n = len(words)
+        found = sorted(segments(self.scores(words)), key=lambda x: -x[2])
+        if not found:
+            return 0.0, self.expected(0.0, n), "", False, []
+        alone = [self.expected(s, n) for *_, s in found]
+        score, chance, used = found[0][2], alone[0], 1
+        case = chance < e_value and score >= min_score
+        total, added = -math.log(alone[0]), score
+        for r in range(2, len(found) + 1):
+            # a segment that chance brings once or more adds nothing
+            if alone[r - 1] >= 1:
+                break
+            total, added = total - math.log(alone[r - 1]), added + found[r - 1][2]
+            e = 2 ** (r - 1) * sum_chance(total, r)
+            if e < chance or (not case and e < e_value and added >= min_score):
+                score, chance, used = added, e, r
+            case = case or (e < e_value and added >= min_score)
+        keep = [i for i in range(len(found)) if (alone[i] < e_value and found[i][2] >= min_score) or (case and i < used)]
+        keep.sort(key=lambda i: found[i][0])
+        return score, chance, " ".join(words[found[0][0] : found[0][1]]), case, [(" ".join(words[found[i][0] : found[i][1]]), found[i][2], alone[i]) for i in keep]
+
     def expected(self, score: float, n: int) -> float:
         """How many segments of this score chance brings in n words."""
         return self.k * max(1, n) * math.exp(-self.lam * score)
@@ -254,24 +309,33 @@ def _calibrate(model: ToxicModel, messages: DataFrame, bins: int = 60) -> ToxicM
 
 
 def score(messages: DataFrame, model: ToxicModel | None = None, e_value: float = 0.01, min_score: float = 1.2) -> DataFrame:
-    """(id, source, score, e_value, passage, is_toxic) of every message; an id delivered again counts once."""
+    """(id, source, score, e_value, passage, is_toxic, passages) of every message; an id delivered again counts once.
+
+    passage is the best one, passages has all that are significant, with the score and e_value of each.
+    """
     src = messages.groupBy("id").agg(F.max_by(F.struct("text", "source", "toxic"), F.struct(F.col("text").isNotNull(), "text", "source", "toxic")).alias("m")).where("id IS NOT NULL").select("id", "m.*")
     src = cut_lineage(src, "messages")
     model = model or fit(src.select("text", "toxic"))
     shared = messages.sparkSession.sparkContext.broadcast(model)  # bounded by max_runs
 
+    passages = pa.list_(pa.struct([("passage", pa.string()), ("score", pa.float64()), ("e_value", pa.float64())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            found = [m.best(t) for t in b.column(2).to_pylist()]
-            chance = [m.expected(s, n) for s, n, _ in found]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([round(s, 6) for s, _, _ in found]), pa.array([round(min(e, 1e6), 9) for e in chance]), pa.array([" ".join(w) for _, _, w in found], pa.string()), pa.array([e < e_value and s >= min_score for (s, _, _), e in zip(found, chance)])],
-                names=["id", "source", "score", "e_value", "passage", "is_toxic"],
-            )
+            found = [m.judge(t, e_value, min_score) for t in b.column(2).to_pylist()]
+            values = [
+                [round(x[0], 6) for x in found],
+                [round(min(x[1], 1e6), 9) for x in found],
+                [x[2] for x in found],
+                [x[3] for x in found],
+                [[{"passage": p, "score": round(s, 6), "e_value": round(min(e, 1e6), 9)} for p, s, e in x[4]] for x in found],
+            ]
+            kinds = [pa.float64(), pa.float64(), pa.string(), pa.bool_(), passages]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, values, kinds)], names=["id", "source", "score", "e_value", "passage", "is_toxic", "passages"])
 
     kind = src.schema["id"].dataType.simpleString()
-    return src.select("id", "source", "text").mapInArrow(run, f"id {kind}, source string, score double, e_value double, passage string, is_toxic boolean")
+    return src.select("id", "source", "text").mapInArrow(run, f"id {kind}, source string, score double, e_value double, passage string, is_toxic boolean, passages array<struct<passage: string, score: double, e_value: double>>")
 
 
 def rates(scored: DataFrame) -> DataFrame:

@@ -365,3 +365,26 @@ def test_no_pair_at_the_threshold_is_pruned(spark):
     rows = [(2 * i + k, t) for i, p in enumerate(far) for k, t in enumerate(p)]
     got = {(r.doc_id_1, r.doc_id_2) for r in neardup.NearDuplicates(docs(spark, rows), words=3).pairs().collect()}
     assert got == {(2 * i, 2 * i + 1) for i in range(len(far))}
+
+
+def test_sum_of_the_best_against_simulation():
+    rng = np.random.default_rng(7)
+    # the r highest points of the limit: minus the logarithms of the arrival times of a Poisson process
+    x = -np.log(np.cumsum(rng.exponential(size=(200_000, 4)), axis=1))
+    for r in (2, 3, 4):
+        for t in (1.0, 4.0, 7.0):
+            p = (x[:, :r].sum(axis=1) > t).mean()
+            assert toxicity.sum_chance(t, r) == pytest.approx(p, rel=0.1, abs=4e-4)
+
+
+def test_passages_add_up():
+    table = {"vile": (1.1, 50), "rot": (2.5, 50), "calm": (-1.0, 50)}
+    m = toxicity.ToxicModel(table, frozenset(table), -1.0, -1.0, lam=4.0, k=0.1)
+    one, many = "vile calm calm calm calm", "vile calm calm calm calm " * 6
+    # below min_score alone, a case together; each passage of it comes out
+    assert not m.judge(one)[3] and m.judge(many)[3]
+    assert [p[0] for p in m.judge(many)[4]] == ["vile"] * 6
+    assert m.judge(many)[0] > m.judge(one)[0] and m.judge(many)[1] < m.judge(one)[1]
+    two = m.judge("rot calm calm calm rot calm calm calm")
+    assert two[3] and [p[0] for p in two[4]] == ["rot", "rot"] and two[0] == pytest.approx(5.0)
+    assert m.judge("rot calm")[0] == pytest.approx(2.5) and m.judge(None) == (0.0, m.k, "", False, [])
