@@ -388,3 +388,11 @@ def test_passages_add_up():
     two = m.judge("rot calm calm calm rot calm calm calm")
     assert two[3] and [p[0] for p in two[4]] == ["rot", "rot"] and two[0] == pytest.approx(5.0)
     assert m.judge("rot calm")[0] == pytest.approx(2.5) and m.judge(None) == (0.0, m.k, "", False, [])
+
+
+def test_all_pairs_of_a_large_class(spark):
+    # one set of runs, written in 70 ways, and a set like it
+    same = [" ".join(f"w{k}" for k in range(40)) + "!" * i for i in range(70)]
+    rows = [*enumerate(same), (100, " ".join(f"w{k}" for k in range(41)))]
+    got = {(r.doc_id_1, r.doc_id_2) for r in neardup.NearDuplicates(docs(spark, rows), words=3).pairs().collect()}
+    assert got == set(itertools.combinations([i for i, _ in rows], 2))
