@@ -1,6 +1,6 @@
 """Filling containers of fixed capacity (problem 8).
 
-Shortest-pack-first over the histogram of lengths: lengths are placed longest first, each into the pattern of
+Best fit decreasing over the histogram of lengths: lengths are placed longest first, each into the pattern of
 open containers that leaves the least room after it, and whole counts move from pattern to pattern, never single items.
 The patterns depend on the histogram alone, which has at most as many entries as the capacity; the items are
 joined back to them by their rank among the items of the same length.
