@@ -48,10 +48,11 @@ def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class RollingHash:
-    """Rabin-Karp hashes of every window of a sequence, modulo 2**64.
+    """Rabin-Karp hashes of every window of a sequence, modulo 2**64: fast, and good for choosing windows.
 
     The symbols are passed through a fixed random permutation of 64-bit numbers first,
-    and the window sums through a mixer afterwards: sums of powers alone are weak in their low bits.
+    and the window sums through a mixer afterwards: sums of powers alone are weak in their low bits. Texts of a
+    doubling pattern collide for any base of this modulus, so what is equal is for ``PrimeHash`` to say.
     """
 
     BASE = 0xD6E8FEB86659FD93
@@ -84,6 +85,52 @@ class RollingHash:
             return mix64((sums[width:] - sums[:n]) * self.inverse[:n])
 
 
+class PrimeHash:
+    """Rabin-Karp hashes of windows modulo the prime 2**31 - 1 under two bases, together 62 bits.
+
+    Two different windows of n symbols agree with probability (n / 2**31) ** 2 at most, whatever their pattern.
+    """
+
+    P = np.uint64((1 << 31) - 1)
+    BASES = (1_204_868_929, 2_011_385_111)
+
+    def __init__(self) -> None:
+        self.powers = [np.ones(1, np.uint64) for _ in self.BASES]
+        self.inverse = [np.ones(1, np.uint64) for _ in self.BASES]
+
+    @classmethod
+    def _fold(cls, x: np.ndarray) -> np.ndarray:
+        """x below 2**63 to a number below 2**31 + 2 of the same residue."""
+        x = (x & cls.P) + (x >> np.uint64(31))
+        return (x & cls.P) + (x >> np.uint64(31))
+
+    def _grow(self, n: int) -> None:
+        for table, bases in ((self.powers, self.BASES), (self.inverse, [pow(b, -1, int(self.P)) for b in self.BASES])):
+            for k, b in enumerate(bases):
+                while len(table[k]) < n:
+                    t = table[k]
+                    table[k] = np.concatenate((t, self._fold(t * np.uint64(pow(b, len(t), int(self.P))))))
+
+    def prefix(self, symbols: np.ndarray) -> list[np.ndarray]:
+        n = len(symbols)
+        self._grow(n + 1)
+        x = mix64(symbols.astype(np.uint64)) >> np.uint64(34)
+        out = []
+        for power in self.powers:
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(self._fold(x * power[:n]), out=sums[1:])
+            out.append(sums)
+        return out
+
+    def at(self, sums: list[np.ndarray], begin: np.ndarray, width: int) -> np.ndarray:
+        """Hash of the window of ``width`` symbols at each place of ``begin``."""
+        parts = []
+        for s, inverse in zip(sums, self.inverse):
+            x = self._fold(self._fold(s[begin + width] - s[begin]) * inverse[begin])
+            parts.append(np.where(x >= self.P, x - self.P, x))
+        return mix64((parts[0] << np.uint64(31)) | parts[1])
+
+
 def sliding(op, values: np.ndarray, width: int) -> np.ndarray:
     """``op`` (np.minimum or np.maximum) over each run of ``width`` values, in log2(width) passes."""
     if len(values) < width:
