@@ -63,6 +63,32 @@ def test_spans_against_brute_force(spark):
     assert spans.shared_spans(docs(spark, [])).count() == 0
 
 
+def test_spans_of_frequent_anchors(spark):
+    """Anchors and runs that are frequent in a batch are settled there or spread; the result stays that of brute force."""
+    rng = random.Random(1)
+    base = " ".join(rng.choice(["ab", "cde", "f", "ghij", "a" * 16]) for _ in range(120))
+    cut = lambda: base[(a := rng.randrange(len(base))) : a + rng.randrange(5, 150)] + rng.choice(["x", "yy é", "", "z" * 55])
+    texts = ["".join(cut() for _ in range(rng.randrange(5))) for _ in range(40)]
+    texts = dict(enumerate([*texts, texts[0], texts[1], texts[1][3:]]))
+    want = brute_spans(texts, 20)
+    for work in ({"frequent": 2, "block": 150, "batch": 600}, {"frequent": 2, "block": 100}):
+        assert {tuple(r) for r in spans.shared_spans(docs(spark, texts.items()), min_length=20, **work).collect()} == want
+
+
+def test_prime_hash_tells_doubling_patterns_apart():
+    n = 2048
+    bits = np.array([i.bit_count() & 1 for i in range(n)], np.uint32)
+    roll, prime = numtext.RollingHash(), numtext.PrimeHash()
+    pair = np.concatenate((bits, 1 - bits))
+    both = lambda h, s: h.windows(s, n)[[0, n]] if h is roll else h.at(s, np.array([0, n]), n)
+    a, b = both(roll, roll.prefix(pair))
+    assert a == b  # why the modulus is a prime where windows are compared
+    a, b = both(prime, prime.prefix(pair))
+    assert a != b
+    again = prime.at(prime.prefix(np.concatenate((pair, bits))), np.array([0, n, 2 * n]), n)
+    assert again[0] == again[2] != again[1]
+
+
 def sets(text, n):
     w = re.findall(r"[^\W_]+", (text or "").lower())
     return set(zip(*(w[i:] for i in range(n))))
@@ -120,6 +146,26 @@ def test_token_counter():
         assert count(t) == len(enc.encode_ordinary(t or ""))
 
 
+def test_shortest_pack_first_by_item():
+    """Every item goes into the container filled least that takes it: checked against placing the items one at a time."""
+    assert sorted(packing.pack_histogram({6: 1, 5: 1, 2: 1}, 10)) == [(((5, 1), (2, 1)), 1), (((6, 1),), 1)]
+    rng = random.Random(4)
+    for cap in (10, 33, 128):
+        counts = {n: rng.randint(1, 30) for n in rng.sample(range(1, cap + 1), min(cap, 25))}
+        rooms = []
+        for n in sorted(counts, reverse=True):
+            for _ in range(counts[n]):
+                at = max(range(len(rooms)), key=rooms.__getitem__, default=None)
+                if at is None or rooms[at] < n:
+                    rooms.append(cap - n)
+                else:
+                    rooms[at] -= n
+        got = packing.pack_histogram(counts, cap)
+        left = [cap - sum(n * t for n, t in p) for p, made in got for _ in range(made)]
+        assert sorted(left) == sorted(rooms)
+        assert all(sum(made * t for p, made in got for m, t in p if m == n) == c for n, c in counts.items())
+
+
 def test_packing(spark):
     rng = random.Random(1)
     sizes = {i: rng.choice([0, 1, 5, 7, 30, 64, 65, 200, rng.randint(1, 64)]) for i in range(400)}
@@ -195,9 +241,19 @@ def test_consensus(spark):
     weight = {r.annotator: r.weight for r in c.reliability().collect()}
     assert weight["good"] > weight["fair"] > weight["poor"]
     assert {r.k for r in c.agreement().collect() if r.agreement is None} == {1001}
+    joined = consensus.Consensus(g, t, few=0)  # sums joined to the items
+    handed = consensus.Consensus(g, t)
+    for a, b in ((joined.labels(), handed.labels()), (joined.agreement(), handed.agreement()), (joined.reliability(), handed.reliability())):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     assert consensus.Consensus(g.where("false"), t, rounds=1).labels().count() == 0
 
 
+def test_rare_annotators_have_wide_bounds():
+    assert consensus.bounded_rate(0, 3) > consensus.bounded_rate(0, 30) > consensus.bounded_rate(0, 3000)
+    assert consensus.bounded_rate(2, 20) > consensus.bounded_rate(200, 2000) > 0.1
+    assert consensus.chi2_quantile(100) == pytest.approx(74.22, rel=1e-3)
+
+
 def test_marks_of_title():
     words = ["The", "red", "house,", "the", "red"]
     assert consensus.marks_of_title(words, "red red") == [0, 1, 0, 0, 1]
