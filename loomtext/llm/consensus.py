@@ -1,28 +1,31 @@
 """Consensus from several annotators' labels (problem 2).
 
-Confidence-aware truth discovery over 0/1 marks of words. Labels and annotators are estimated in turns:
+Confidence-aware truth discovery over 0/1 marks of words. Labels and annotators are estimated in turns until no sum changes:
 
-* An annotator's error variance is the squared distance of the marks from the labels over the number of marks, and is
-  replaced by its upper confidence bound, sum / chi-squared quantile(alpha / 2, n). Few marks give a wide bound, so an
-  annotator of the long tail gains no weight by chance. The bound is taken apart for words that belong and words that don't:
-  annotators who miss words and annotators who add words err in different ways.
-* A label is the one of smaller weighted distance, where a mark counts with the logarithm of the bounded rates.
+* An annotator's error variance is the mean squared distance of the marks from the labels, and is replaced by its upper confidence
+  bound, sum / chi-squared quantile(alpha / 2, n) (Li et al. 2014). Few marks give a wide bound, so an annotator of the long tail gains
+  no weight by chance. The bound is taken apart for words that belong and words that don't: annotators who miss words and annotators who
+  add words err in different ways.
+* A word's label is the one of the smaller weighted distance from the marks. A mark's weight is the logarithm of the bounds, and the
+  usual length of a title is one more voice against each word.
+
+Weights of inverse bounds, without logarithm and taken together for both kinds of words, let the surest annotator outvote all others.
 
 An item's marks stay together in one row, bounded by its words and annotators; only sums per annotator travel
-between rounds.
+between rounds. They are handed to all tasks while there are no more than ``few`` of them, and joined to the items beyond that.
 
 Defined results: marks that are null or stop early are completed from the annotator's latest title, and are unknown where there is
-none; a null title in the titles table keeps no word; items without words or marks have no labels; repeated rows count once.
+none; a null title in the titles table keeps no word; items without words or marks have no labels; a word with equal distances has label 0; repeated rows count once.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,14 +35,16 @@ _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 UNKNOWN = -1
 
 
-def chi2_quantile(n: float, z: float = -1.959964) -> float:
+def chi2_quantile(n, z: float = -1.959964) -> np.ndarray:
     """Wilson and Hilferty's quantile of the chi-squared distribution with n degrees of freedom; z is the normal quantile."""
-    return max(1e-6, n * (1 - 2 / (9 * n) + z * math.sqrt(2 / (9 * n))) ** 3) if n > 0 else 1e-6
+    n = np.maximum(np.asarray(n, float), 1e-9)
+    h = 2 / (9 * n)
+    return np.maximum(1e-6, n * (1 - h + z * np.sqrt(h)) ** 3)
 
 
-def bounded_rate(errors: float, n: float, z: float = -1.959964) -> float:
-    """Upper bound of an error rate. One error more keeps rare annotators from certainty; 0.5 and above say nothing in favour."""
-    return min(0.98, max(1e-4, (errors + 1) / max(chi2_quantile(n + 1, z), 1.0)))
+def bounded_rate(errors, n, z: float = -1.959964) -> np.ndarray:
+    """Upper bound of an error variance. One error more keeps rare annotators from certainty; 0.5 and above say nothing in favour."""
+    return np.clip((np.asarray(errors, float) + 1) / np.maximum(chi2_quantile(np.asarray(n, float) + 1, z), 1.0), 1e-4, 0.98)
 
 
 def _bare(word: str) -> str:
@@ -86,125 +91,186 @@ def items(gold: DataFrame, titles: DataFrame) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            voices, words = b.column(2), b.column(1)
+            names, at = voices.keys.to_pylist(), voices.offsets.to_numpy()
+            lists, marks = voices.items, voices.items.values.fill_null(UNKNOWN).to_numpy(zero_copy_only=False)
+            marks = np.where((marks == 0) | (marks == 1), marks, UNKNOWN).astype(np.int8)
+            cut, there = lists.offsets.to_numpy(), lists.is_valid().to_numpy(zero_copy_only=False)
             who, what = [], []
-            for words, marks, titled in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                words = [w or "" for w in words]
-                marks, titled = dict(marks or ()), {t["annotator"]: t["title"] for t in titled or ()}
-                full = {a: complete(words, marks.get(a), titled.get(a), a in titled) for a in sorted({*marks, *titled})}
-                who.append([a for a, m in full.items() if m])
-                what.append([m for m in full.values() if m])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(who, pa.list_(pa.string())), pa.array(what, pa.list_(pa.list_(pa.int8())))], names=["k", "words", "who", "marks"])
-
-    return base.select("k", "words", "annotators").join(late, "k", "left").select("k", "words", "annotators", "titles").mapInArrow(build, "k long, words array<string>, who array<string>, marks array<array<tinyint>>")
-
-
-def _posterior(marks: np.ndarray, miss: np.ndarray, extra: np.ndarray, prior: float) -> np.ndarray:
-    """Probability of label 1 per word, from the difference of the two weighted distances."""
-    one, zero = (marks == 1).astype(float), (marks == 0).astype(float)
-    gain = one.T @ (np.log1p(-miss) - np.log(extra)) + zero.T @ (np.log(miss) - np.log1p(-extra))
-    return 1 / (1 + np.exp(-np.clip(gain + math.log(prior / (1 - prior)), -40, 40)))
-
-
-def _scorer(mean_words: float):
-    """Marks and posteriors of a row (words, marks, rates); an item's prior is the mean length of a title over its words."""
-
-    def score(row) -> tuple[np.ndarray, np.ndarray]:
-        words, marks, rates = row
-        m = np.array(marks, np.int8).reshape(len(marks), len(words))
-        if not len(m):
-            return m, np.zeros(len(words))
-        r = [(x[0], x[1]) if len(x) == 2 else (bounded_rate(x[1], x[0]), bounded_rate(x[3], x[2])) for x in rates]
-        miss, extra = np.array(r).T
-        return m, _posterior(m, miss, extra, min(0.5, mean_words / len(words)))
-
-    return score
+            for i, (n, titled) in enumerate(zip(pa.compute.list_value_length(words).to_pylist(), b.column(3).to_pylist())):
+                titled, full, own = {t["annotator"]: t["title"] for t in titled or ()}, {}, None
+                for j in range(at[i], at[i + 1]):
+                    a, have = names[j], marks[cut[j] : cut[j + 1]][:n] if there[j] else None
+                    if have is None or len(have) < n:
+                        own = own or [w or "" for w in words[i].as_py()]
+                        m = complete(own, None if have is None else have.tolist(), titled.get(a), a in titled)
+                        have = None if m is None else np.array(m, np.int8)
+                    full[a] = have
+                for a in titled.keys() - full.keys():
+                    own = own or [w or "" for w in words[i].as_py()]
+                    full[a] = np.array(complete(own, None, titled[a], True), np.int8)
+                kept = sorted(a for a, m in full.items() if m is not None and len(m))
+                who.append(kept)
+                what.append(b"".join(full[a].tobytes() for a in kept))
+            yield pa.RecordBatch.from_arrays([b.column(0), words, pa.array(who, pa.list_(pa.string())), pa.array(what, pa.binary())], names=["k", "words", "who", "marks"])
+
+    return base.select("k", "words", "annotators").join(late, "k", "left").select("k", "words", "annotators", "titles").mapInArrow(build, "k long, words array<string>, who array<string>, marks binary")
+
+
+#: Sums of an annotator: marks on words with label 1 and how many of them are 0; on words with label 0 and how many of them are 1.
+SUMS = ("n1", "e1", "n0", "e0")
+#: What stands for sums before the first round: a rate of missed words of 0.3, and of added ones of 0.1.
+START = (1e6, 3e5, 1e6, 1e5)
+#: Marks that are dealt with at once.
+CHUNK = 2_000_000
+
+
+class Votes:
+    """The marks of some items as flat arrays: one entry a mark, told by item, annotator and word."""
+
+    def __init__(self, b: pa.RecordBatch) -> None:
+        self.size = pa.compute.list_value_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+        voices = pa.compute.list_value_length(b.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.marked = voices > 0
+        names = b.column(2).flatten().dictionary_encode()
+        self.names, self.who = names.dictionary.to_pylist(), names.indices.to_numpy(zero_copy_only=False)
+        self.mark = np.frombuffer(b"".join(b.column(3).to_pylist()), np.int8)
+        self.item = np.repeat(np.arange(len(self.size)), self.size)  # item of each word
+        owner = np.repeat(np.arange(len(self.size)), voices)  # item of each voice
+        span = self.size[owner]
+        self.voice = np.repeat(np.arange(len(owner)), span)
+        first = np.cumsum(self.size) - self.size
+        self.word = np.arange(len(self.mark)) + np.repeat(first[owner] - (np.cumsum(span) - span), span)
+
+    def labels(self, sums: np.ndarray, title_words: float) -> tuple[np.ndarray, np.ndarray]:
+        """Label of every word, and how much further the other label is; sums: SUMS of each voice."""
+        miss, extra = bounded_rate(sums[:, 1], sums[:, 0]), bounded_rate(sums[:, 3], sums[:, 2])
+        kept, left = np.log1p(-miss) - np.log(extra), np.log1p(-extra) - np.log(miss)
+        far = np.where(self.mark == 1, kept[self.voice], 0.0) - np.where(self.mark == 0, left[self.voice], 0.0)
+        share = np.minimum(0.5, title_words / self.size)
+        gain = np.bincount(self.word, far, len(self.item)) - np.log((1 - share) / share)[self.item]
+        return (gain > 0) & self.marked[self.item], np.abs(gain)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        size = np.array([len(x) for x in b.column(3).to_pylist()])
+        part = np.cumsum(size) // CHUNK
+        cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(size) else ()
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            yield b.slice(lo, hi - lo)
 
 
 class Consensus:
     """Runs the rounds; ``reliability`` has the annotators, ``labels`` the items."""
 
-    START = (0.3, 0.1)
-
-    def __init__(self, gold: DataFrame, titles: DataFrame, rounds: int = 6) -> None:
-        self.items = cut_lineage(items(gold, titles), "items")
-        self.words = 4.0
-        rates = None
+    def __init__(self, gold: DataFrame, titles: DataFrame, rounds: int = 30, few: int = 500_000) -> None:
+        self.items, self.few = cut_lineage(items(gold, titles), "items"), few
+        self.known: dict[str, tuple[float, ...]] | None = {}
+        self.sums: DataFrame | None = None
+        self.words, last = 4.0, None
+        schema = "annotator string, n1 long, e1 long, n0 long, e0 long, kept long, n_items long"
         for _ in range(rounds):
-            sums = cut_lineage(self._join(rates).mapInArrow(self._sums(), "annotator string, n1 double, e1 double, n0 double, e0 double, kept double, n_items long").groupBy("annotator").agg(*(F.sum(c).alias(c) for c in ("n1", "e1", "n0", "e0", "kept", "n_items"))), "sums")
-            total = sums.where("annotator IS NULL").select("kept", "n_items").first()
-            self.words = max(1.0, total[0] / total[1]) if total and total[1] else 4.0
-            rates = sums.where("annotator IS NOT NULL")
-        self.sums = rates
-
-    def _join(self, rates: DataFrame | None) -> DataFrame:
-        """Items with (miss, extra) of each of their annotators; before the first round all are alike."""
-        if rates is None:
-            return self.items.select("k", "words", "who", "marks", F.transform("who", lambda _: F.array(*map(F.lit, self.START))).alias("rates"))
-        each = self.items.select("k", F.explode("who").alias("annotator")).join(rates.select("annotator", F.array("n1", "e1", "n0", "e0").alias("s")), "annotator")
+            sums = self._rows().mapInArrow(self._sums(), schema).groupBy("annotator").agg(*(F.sum(c).alias(c) for c in (*SUMS, "kept", "n_items")))
+            sums = cut_lineage(sums, "sums")
+            self.sums = sums.where("annotator IS NOT NULL")
+            kept, n_items, now = sums.agg(F.sum("kept"), F.sum(F.expr("if(annotator IS NULL, n_items, 0)")), F.sum(F.xxhash64(*SUMS, "annotator").cast("decimal(38,0)"))).first()
+            self.words = max(1.0, kept / n_items) if n_items else 4.0
+            rows = self.sums.select("annotator", *SUMS).limit(few + 1).collect()
+            self.known = {r[0]: tuple(map(float, r[1:])) for r in rows} if len(rows) <= few else None
+            if now == last:
+                break
+            last = now
+
+    def _rows(self) -> DataFrame:
+        """Items, with the sums of their annotators where these are too many to be handed out."""
+        if self.known is not None:
+            return self.items
+        each = self.items.select("k", F.explode("who").alias("annotator")).join(self.sums.select("annotator", F.array(*(F.col(c).cast("double") for c in SUMS)).alias("s")), "annotator")
         by = each.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("annotator", "s"))).alias("m"))
-        return self.items.join(by, "k", "left").select("k", "words", "who", "marks", F.transform("who", lambda a: F.col("m")[a]).alias("rates"))
+        return self.items.join(by, "k", "left").select("k", "words", "who", "marks", F.flatten(F.transform("who", lambda a: F.col("m")[a])).alias("sums"))
+
+    def _judge(self):
+        """Flat marks, labels and distances of the chunks of a batch."""
+        shared = self.items.sparkSession.sparkContext.broadcast(self.known)  # at most ``few`` rows
+        words = self.words
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Votes, np.ndarray, np.ndarray]]:
+            for b in _chunks(batches):
+                v = Votes(b)
+                if b.num_columns > 4:
+                    sums = b.column(4).flatten().to_numpy(zero_copy_only=False).reshape(-1, 4)
+                else:
+                    sums = np.array([shared.value.get(x, START) for x in v.names], float).reshape(-1, 4)[v.who]
+                yield b, v, *v.labels(sums, words)
+
+        return run
 
     def _sums(self):
-        score = _scorer(self.words)
+        judge = self._judge()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[str | None, np.ndarray] = {}
-            for b in batches:
-                for words, who, marks, rates in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4))):
-                    if not who:
-                        continue
-                    m, p = score((words, marks, rates))
-                    for a, x in zip(who, m):
-                        s = sums.setdefault(a, np.zeros(6))
-                        s += (p[x != UNKNOWN].sum(), p[x == 0].sum(), (1 - p)[x != UNKNOWN].sum(), (1 - p)[x == 1].sum(), 0, 1)
-                    sums.setdefault(None, np.zeros(6))[4:] += (p.sum(), 1)
-            if sums:
-                v = np.array(list(sums.values()))
-                yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array(v[:, i]) for i in range(5)), pa.array(v[:, 5].astype(np.int64))], names=["annotator", "n1", "e1", "n0", "e0", "kept", "n_items"])
+            for _, v, label, _ in judge(batches):
+                if not len(v.mark):
+                    continue
+                own, at = v.who[v.voice], label[v.word]
+                count = lambda x, own=own, v=v: np.bincount(own[x], minlength=len(v.names))
+                cols = [count((v.mark != UNKNOWN) & at), count((v.mark == 0) & at), count((v.mark != UNKNOWN) & ~at), count((v.mark == 1) & ~at)]
+                items_ = np.bincount(v.who, minlength=len(v.names))
+                total = [0, 0, 0, 0, int(label.sum()), int(v.marked.sum())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([*v.names, None], pa.string()), *(pa.array(np.append(x, t).astype(np.int64)) for x, t in zip((*cols, np.zeros_like(items_), items_), total))],
+                    names=["annotator", *SUMS, "kept", "n_items"],
+                )
 
         return run
 
     def labels(self) -> DataFrame:
         """(k, word_pos, word, label, confidence) for every word of an item with marks."""
-        score = _scorer(self.words)
+        judge = self._judge()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                out: list[list] = [[], [], [], [], []]
-                for k, words, who, marks, rates in zip(*(b.column(i).to_pylist() for i in range(5))):
-                    if who:
-                        p = score((words, marks, rates))[1]
-                        for i, (w, x) in enumerate(zip(words, p)):
-                            for c, v in zip(out, (k, i, w, int(x >= 0.5), round(float(max(x, 1 - x)), 6))):
-                                c.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["k", "word_pos", "word", "label", "confidence"])
-
-        return self._join(self.sums).mapInArrow(run, "k long, word_pos long, word string, label int, confidence double")
+            for b, v, label, gain in judge(batches):
+                keep = v.marked[v.item]
+                at = np.arange(len(v.item)) - (np.cumsum(v.size) - v.size)[v.item]
+                sure = np.round(1 / (1 + np.exp(-np.minimum(gain, 40.0))), 6)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(v.item[keep])), pa.array(at[keep]), b.column(1).flatten().filter(pa.array(keep)), pa.array(label[keep].astype(np.int32)), pa.array(sure[keep])],
+                    names=["k", "word_pos", "word", "label", "confidence"],
+                )
+
+        return self._rows().mapInArrow(run, "k long, word_pos long, word string, label int, confidence double")
 
     def agreement(self) -> DataFrame:
         """(k, n_annotators, title, agreement): the mean over words of the share of marks that equal the label."""
-        score = _scorer(self.words)
+        judge = self._judge()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                out: list[list] = [[], [], [], []]
-                for k, words, who, marks, rates in zip(*(b.column(i).to_pylist() for i in range(5))):
-                    m, p = score((words, marks, rates)) if who else (np.zeros((0, len(words))), np.zeros(len(words)))
-                    label = p >= 0.5
-                    known = m != UNKNOWN
-                    share = ((m == label) & known).sum() / known.sum() if known.any() else None
-                    for c, v in zip(out, (k, len(who or ()), " ".join(w or "" for w, x in zip(words, label) if x) if who else None, None if share is None else round(float(share), 6))):
-                        c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.string(), pa.float64()))], names=["k", "n_annotators", "title", "agreement"])
-
-        return self._join(self.sums).mapInArrow(run, "k long, n_annotators int, title string, agreement double")
+            for b, v, label, _ in judge(batches):
+                n = len(v.size)
+                item, known = v.item[v.word], v.mark != UNKNOWN
+                total, same = np.bincount(item[known], minlength=n), np.bincount(item[known & (v.mark == label[v.word])], minlength=n)
+                ends = np.cumsum(v.size)
+                titles = [" ".join(w or "" for w, x in zip(words, label[e - s : e]) if x) if m else None for words, e, s, m in zip(b.column(1).to_pylist(), ends, v.size, v.marked)]
+                share = pa.array(np.round(same / np.maximum(total, 1), 6), mask=total == 0)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.compute.list_value_length(b.column(2)), pa.array(titles, pa.string()), share], names=["k", "n_annotators", "title", "agreement"])
+
+        return self._rows().mapInArrow(run, "k long, n_annotators int, title string, agreement double")
 
     def reliability(self) -> DataFrame:
-        """(annotator, n_items, miss_rate, extra_rate, weight): the weight is the inverse of the upper bound of the error variance."""
+        """(annotator, n_items, miss_rate, extra_rate, miss_bound, extra_bound, keep_weight, leave_weight, weight): the weights that decide the
+        labels, of marks that keep a word and of marks that leave one out, and both together."""
         if self.sums is None:
             raise ValueError("no rounds were run")
-        n, e = F.col("n1") + F.col("n0"), F.col("e1") + F.col("e0")
-        h = F.lit(2.0) / (9 * n)
-        chi = n * F.pow(1 - h - 1.959964 * F.sqrt(h), 3)
-        return self.sums.select("annotator", "n_items", F.round(F.col("e1") / F.col("n1"), 6).alias("miss_rate"), F.round(F.col("e0") / F.col("n0"), 6).alias("extra_rate"), F.round(chi / F.greatest(e, F.lit(1e-6)), 6).alias("weight"))
+        names = ["annotator", "n_items", "miss_rate", "extra_rate", "miss_bound", "extra_bound", "keep_weight", "leave_weight", "weight"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                n1, e1, n0, e0 = (b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (2, 3, 4, 5))
+                miss, extra = bounded_rate(e1, n1), bounded_rate(e0, n0)
+                rate = lambda e, n: pa.array(np.round(e / np.maximum(n, 1), 6), mask=n == 0)
+                kept, left = np.log1p(-miss) - np.log(extra), np.log1p(-extra) - np.log(miss)
+                rest = (miss, extra, kept, left, kept + left)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), rate(e1, n1), rate(e0, n0), *(pa.array(np.round(x, 6)) for x in rest)], names=names)
+
+        return self.sums.select("annotator", "n_items", *SUMS).mapInArrow(run, "annotator string, n_items long, " + ", ".join(f"{c} double" for c in names[2:]))
