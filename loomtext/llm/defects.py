@@ -10,7 +10,8 @@ The rules look at the raw answer, with the message that it answers:
    for another one make it ``truncated``.
 6. Words of a language or script that no sentence of the message is in make it ``language``.
 
-``all_defects`` has every rule that fires, ``defect`` the first in the order above.
+``all_defects`` has every rule that fires, each judged by itself, ``defect`` the first in the order above. Only a message of less than
+20 characters that is its own title, or an answer of which nothing is left, ends the search: there is nothing more to judge.
 
 Defined results: a null raw is empty; rows with an error have no defect; without a message the rules about it don't fire; repeated
 rows give one record.
@@ -44,7 +45,8 @@ NOTHING = {
 REFUSALS = re.compile(
     r"\b(?:"
     r"i (?:can ?not|can['’]?t|could not|won['’]?t|will not|must decline|am not able|am unable|do not feel|apologi[sz]e)|i['’]m (?:sorry|not able|unable|afraid)|(?:we|i) (?:have to|must) (?:decline|refuse)|as an ai|sorry\W+(?:but )?i|unfortunately\W+(?:this|i|it)"
-    r"|no title can be (?:given|created|produced)|(?:outside|against|violates?) (?:what i|my|our|the) ?['’]?m? ?(?:allowed|guidelines|polic|rules)|not something i can|my guidelines|falls outside|unable to (?:create|provide|generate|help|title)"
+    r"|(?:no|not an?) \w+ (?:can|could|may|will) be \w+|\w+ (?:can ?not|can['’]?t|could not) be (?:given|made|created|produced|provided|generated)|not something (?:i|we)\b|not (?:allowed|permitted|comfortable|willing|going) to|(?:decline|refuse) to"
+    r"|falls? outside|(?:outside|beyond|against|contrary to|violat\w+) (?:of )?(?:what i|what we|my|our|the) ?(?:\w+ )?(?:allowed|guidelines?|polic\w+|rules?|terms|limits|scope)|(?:my|our) (?:guidelines|policy|policies|rules)|unable to (?:\w+ )?(?:create|provide|generate|help|title|give|write)"
     r"|je (?:ne peux pas|ne suis pas en mesure|refuse|suis désolée?|regrette)|désolée?\W+(?:mais )?je|il m['’]est impossible|en tant qu['’](?:ia|intelligence)"
     r"|(?:no puedo|no me es posible|lo siento|no estoy en condiciones|no soy capaz|me niego)|como (?:una? )?(?:ia|inteligencia)"
     r"|ich kann (?:\w+ ){0,6}(?:nicht|kein\w*)|(?:es )?tut mir leid|leider (?:kann|darf|ist)|als ki\b|ich darf (?:\w+ ){0,5}(?:nicht|kein\w*)|nicht in der lage"
@@ -74,6 +76,7 @@ CALLING = {
 }
 CALLING = {k: frozenset(v.split()) for k, v in CALLING.items()}
 _PAIRS = (('"', '"'), ("“", "”"), ("„", "“”"), ("«", "»"), ("‘", "’"), ("'", "'"), ("`", "`"), ("(", ")"), ("[", "]"), ("{", "}"))
+_CUT = re.compile(r"[,(\[{–—-]$")
 _LABEL = re.compile(rf"^\W*(?:{'|'.join(LABELS)})\s*[:：]\s*", re.I)
 
 
@@ -134,36 +137,32 @@ class TitleRules:
         whole, wlead, _ = self.lexicon.best(" ".join(words))
         return whole == lang and wlead >= self.lead and lang not in self.languages_of(message)
 
+    def broken(self, text: str, words: list[str], own: list[str], follows: bool, message: str | None) -> bool:
+        """The last word breaks off within a word of the message, or calls for another one."""
+        last, whole = words[-1], set(own)
+        within = last not in whole and any(len(w) > len(last) and w.startswith(last) for w in whole)
+        calls = not (follows and words[-2:] == own[-2:]) and any(last in CALLING[x] for x in (self.languages_of(message) if message else CALLING))
+        return within or calls or bool(_CUT.search(text.rstrip(" \t\n.!?…\"'*”»")))
+
     def __call__(self, raw: str | None, message: str | None) -> list[str]:
-        out = []
         text, think, open_ = unwrap(raw or "")
-        words = _WORD.findall(text.lower())
-        if think:
-            out.append("truncated")
-        if not words or " ".join(words) in NOTHING and not (message and " ".join(_WORD.findall(message.lower())) == " ".join(words)):
-            return out if think else ["empty"]
-        own = _WORD.findall(message.lower()) if message else []
+        words, own = _WORD.findall(text.lower()), _WORD.findall(message.lower()) if message else []
+        out = ["truncated"] if think else []
+        if not words or " ".join(words) in NOTHING and own != words:
+            return [*out, "empty"]
         rest = iter(own)
         follows = bool(own) and all(w in rest for w in words)
-        if not follows and REFUSALS.search(text):
-            out.append("refusal")
         # white space and case are no difference, nor are the marks between words
         is_copy = bool(own) and "".join(words).casefold() == "".join(own).casefold()
-        if is_copy:
-            if len(message.strip()) >= self.copy_chars:
-                out.append("copy")
+        if is_copy and len(message.strip()) < self.copy_chars:
             return out
-        if open_:
+        if not follows and REFUSALS.search(text):
+            out.append("refusal")
+        if is_copy:
+            out.append("copy")
+        if open_ or not is_copy and self.broken(text, words, own, follows, message):
             out.append("truncated")
-        elif "refusal" not in out:
-            last = words[-1]
-            whole = set(own)
-            within = last not in whole and any(len(w) > len(last) and w.startswith(last) for w in whole)
-            tail = text.rstrip(" \t\n.!?…\"'*”»")
-            calls = not (follows and words[-2:] == own[-2:]) and any(last in CALLING[x] for x in (self.languages_of(message) if message else CALLING))
-            if within or calls or re.search(r"[,(\[{–—-]$", tail):
-                out.append("truncated")
-        if message and not follows and "refusal" not in out and self.foreign(words, message):
+        if message and not follows and not is_copy and self.foreign(words, message):
             out.append("language")
         return list(dict.fromkeys(out))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import consensus, defects, formatting, language, mixing, neardup, packing, personal, spans, toxicity
 
@@ -13,8 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return defects.defects(table(spark, sf_dir, "teacher_titles"), table(spark, sf_dir, "messages"))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return defects.defects(table(spark, sf_dir, "teacher_titles"), table(spark, sf_dir, "messages")).select("run_id", "defect")
+    return _defects(spark, sf_dir).select("run_id", "defect")
+
+
+def p1_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every type of defect that a record has, one row each."""
+    return _defects(spark, sf_dir).select("run_id", F.explode("all_defects").alias("defect"))
 
 
 def _consensus(spark: SparkSession, sf_dir: str) -> consensus.Consensus:
@@ -122,7 +132,7 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (p1_found, p2_found, p2_agreement, p2_reliability, p3_found, p3_groups, p4_found, p4_collapsed, p5_found, p5_scores, p5_rates, p6_found, p6_redacted, p7_found, p7_languages, p7_segments, p8_packing, p8_filled, p9_mixture, p9_shares, p10_found, p10_share)
+    each = (p1_found, p1_defects, p2_found, p2_agreement, p2_reliability, p3_found, p3_groups, p4_found, p4_collapsed, p5_found, p5_scores, p5_rates, p6_found, p6_redacted, p7_found, p7_languages, p7_segments, p8_packing, p8_filled, p9_mixture, p9_shares, p10_found, p10_share)
     return {f.__name__: f for f in each}
 
 
