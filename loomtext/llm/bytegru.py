@@ -6,7 +6,9 @@ import numpy as np
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    x = np.exp(-x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _flip(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -34,43 +36,93 @@ class ByteGRU:
         }
         self.p["x"][:, :, :h] += 1.0  # remember at first
 
-    def _states(self, rows: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        """Hidden states [time, 2, batch, hidden] for bytes [2, batch, time]."""
+    def _states(self, rows: np.ndarray) -> tuple[np.ndarray, list]:
+        """Hidden states [time, 2, batch, hidden] for bytes [2, batch, time], and what the way back needs."""
         h, u, c, x = self.hidden, self.p["u"], self.p["c"], self.p["x"]
         _, n, steps = rows.shape
-        state = np.zeros((2, n, h), np.float32)
-        out = np.empty((steps, 2, n, h), np.float32)
+        state = np.zeros((2, n, h), x.dtype)
+        out = np.empty((steps, 2, n, h), x.dtype)
         past: list = []
         for t in range(steps):
             w = np.stack((x[0][rows[0, :, t]], x[1][rows[1, :, t]]))
             g = np.matmul(state, u)
-            zr = w[:, :, : 2 * h] + g[:, :, : 2 * h]
-            np.negative(zr, out=zr)
-            np.exp(zr, out=zr)
-            zr += 1
-            np.reciprocal(zr, out=zr)
+            zr = _sigmoid(w[:, :, : 2 * h] + g[:, :, : 2 * h])
             z, r = zr[:, :, :h], zr[:, :, h:]
             inner = g[:, :, 2 * h :] + c
-            cand = np.tanh(w[:, :, 2 * h :] + r * inner)
-            if keep:
-                past.append((state, z, r, inner, cand))
+            # tanh by way of exp, which numpy has in vector form for single precision
+            cand = 2 * _sigmoid(2 * (w[:, :, 2 * h :] + r * inner)) - 1
+            past.append((state, z, r, inner, cand))
             state = cand + z * (state - cand)
             out[t] = state
         return out, past
 
-    def scores(self, texts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Log-probabilities [batch, time, classes] of padded bytes [batch, time]."""
-        both = np.stack((texts, _flip(texts, lengths)))
-        out, _ = self._states(both, False)
-        logits = np.matmul(out[:, 0], self.p["v"][0]).transpose(1, 0, 2) + _flip(np.matmul(out[:, 1], self.p["v"][1]).transpose(1, 0, 2), lengths) + self.p["b"]
-        logits -= logits.max(axis=2, keepdims=True)
-        return logits - np.log(np.exp(logits).sum(axis=2, keepdims=True))
+    def _run(self, texts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The states alone [2, time, batch, hidden], in place; those of the way back in its own order.
+
+        The way back begins with the padding, and its state is set to nothing where the text itself begins.
+        """
+        h = self.hidden
+        n, steps = texts.shape
+        x, u = self.p["x"].astype(np.float32), self.p["u"].astype(np.float32)
+        # the gates' weights change their sign and the candidate's are doubled, so that exp is all that is left to do
+        xg, xc = -x[:, :, : 2 * h], -2 * x[:, :, 2 * h :]
+        ug, uc, c = -u[:, :, : 2 * h], -2 * u[:, :, 2 * h :], -2 * self.p["c"].astype(np.float32)
+        at = np.ascontiguousarray(np.stack((texts, texts[:, ::-1])).transpose(2, 0, 1)).astype(np.intp)
+        begins: dict[int, list[int]] = {}
+        for row, k in enumerate((steps - lengths).tolist()):
+            if k:
+                begins.setdefault(k, []).append(row)
+        gate, more, cand, inner = (np.empty((2, n, k * h), np.float32) for k in (2, 2, 1, 1))
+        out = np.empty((2, steps, n, h), np.float32)
+        state = np.zeros((2, n, h), np.float32)
+        for t in range(steps):
+            if t in begins:
+                state[1, begins[t]] = 0
+            for k in range(2):
+                np.take(xg[k], at[t, k], axis=0, out=gate[k], mode="clip")
+                np.take(xc[k], at[t, k], axis=0, out=cand[k], mode="clip")
+            gate += np.matmul(state, ug, out=more)
+            np.exp(gate, out=gate)
+            gate += 1
+            np.reciprocal(gate, out=gate)
+            np.matmul(state, uc, out=inner)
+            inner += c
+            inner *= gate[:, :, h:]
+            cand += inner
+            np.exp(cand, out=cand)
+            cand += 1
+            np.divide(np.float32(2), cand, out=cand)
+            cand -= 1
+            state -= cand
+            state *= gate[:, :, :h]
+            state += cand
+            out[:, t] = state
+        return out
+
+    def probabilities(self, texts: np.ndarray, lengths: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities and their logarithms, both [classes, places], of ``size`` places from ``begin`` on of each of the padded texts [batch, time], one text's behind the other's."""
+        n, steps = texts.shape
+        with np.errstate(over="ignore"):
+            out = self._run(texts, lengths)
+        v = self.p["v"].astype(np.float32)
+        ahead, back = ((v[k].T @ out[k].reshape(-1, self.hidden).T).reshape(-1, steps, n) for k in range(2))
+        ahead += back[:, ::-1]
+        place = np.arange(steps)
+        judged = (place >= begin[:, None]) & (place < (begin + size)[:, None])
+        logits = ahead.transpose(0, 2, 1)[:, judged]
+        logits += self.p["b"].astype(np.float32)[:, None]
+        logits -= logits.max(axis=0)
+        mass = np.exp(logits)
+        total = mass.sum(axis=0)
+        mass /= total
+        logits -= np.log(total)
+        return mass, logits
 
     def gradients(self, texts: np.ndarray, lengths: np.ndarray, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy over the labelled positions (label -1 is none) and its gradients."""
         h, u, v = self.hidden, self.p["u"], self.p["v"]
         both = np.stack((texts, _flip(texts, lengths)))
-        out, past = self._states(both, True)
+        out, past = self._states(both)
         steps, _, n, _ = out.shape
         back = _flip(out[:, 1].transpose(1, 0, 2), lengths)
         logits = out[:, 0].transpose(1, 0, 2) @ v[0] + back @ v[1] + self.p["b"]

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,9 @@ _SENTENCE = re.compile(r"(?<=[.?!;])\s+|\n+")
 _LETTERS = re.compile(r"[^\W\d_]")
 _WORDS = re.compile(r"[^\W\d_]{2,}")
 
+#: Batches of the two turns of training, and units of the network in each direction.
+STEPS, HIDDEN = (170, 280), 24
+
 
 def _training(rows: list[tuple[str, str]], steps: int, batch: int, width: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Batches of windows: a text or two or three pieces of texts of any language, in any case."""
@@ -71,7 +75,7 @@ def _training(rows: list[tuple[str, str]], steps: int, batch: int, width: int, s
         yield x, n, y
 
 
-def fit(messages: DataFrame, sample_rows: int = 6000, steps: tuple[int, int] = (170, 280), batch: int = 96, width: int = 144, hidden: int = 32, seed: int = 7) -> ByteGRU:
+def fit(messages: DataFrame, sample_rows: int = 6000, steps: tuple[int, int] = STEPS, batch: int = 96, width: int = 144, hidden: int = HIDDEN, seed: int = 7) -> ByteGRU:
     """Trains on a sample of at most about ``sample_rows`` labelled messages, chosen by the hash of the id.
 
     Labels are wrong at times and texts mixed, so the first steps' network picks the texts that are in the language of their label
@@ -84,6 +88,11 @@ def fit(messages: DataFrame, sample_rows: int = 6000, steps: tuple[int, int] = (
     share = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, min(1.0, 2.0 * per / v))])[F.col("lang")] if n else F.lit(0.0)
     drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000).orderBy(F.xxhash64("id", F.lit(1)), "id").limit(sample_rows).select("text", "lang").collect()
     sample = [(r[0], r[1]) for r in drawn]
+    return train(sample, steps, batch, width, hidden, seed)
+
+
+def train(sample: list[tuple[str, str]], steps: tuple[int, int] = STEPS, batch: int = 96, width: int = 144, hidden: int = HIDDEN, seed: int = 7) -> ByteGRU:
+    """A network from (text, language) rows, some of whose labels are wrong."""
     net = ByteGRU(len(LANGUAGES), hidden, seed)
     if not sample:
         return net
@@ -96,10 +105,10 @@ def fit(messages: DataFrame, sample_rows: int = 6000, steps: tuple[int, int] = (
     return net
 
 
-def path(logp: np.ndarray, lengths: np.ndarray, cost: np.ndarray) -> np.ndarray:
-    """Likeliest classes [batch, time] where a change of class before a position costs what ``cost`` has there."""
-    n, steps, k = logp.shape
-    score = logp[:, 0].copy()
+def path(gain: np.ndarray, lengths: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Likeliest classes [batch, steps] where a change of class before a step costs what ``cost`` has there."""
+    n, steps, k = gain.shape
+    score = gain[:, 0].copy()
     stay = np.zeros((n, steps, k), bool)
     lead = np.zeros((n, steps), np.int64)
     rows = np.arange(n)
@@ -107,7 +116,7 @@ def path(logp: np.ndarray, lengths: np.ndarray, cost: np.ndarray) -> np.ndarray:
         lead[:, t] = score.argmax(axis=1)
         best = score[rows, lead[:, t]] - cost[:, t]
         stay[:, t] = score >= best[:, None]
-        new = np.where(stay[:, t], score, best[:, None]) + logp[:, t]
+        new = np.where(stay[:, t], score, best[:, None]) + gain[:, t]
         score = np.where((t < lengths)[:, None], new, score)
     out = np.zeros((n, steps), np.int64)
     cur = score.argmax(axis=1)
@@ -121,16 +130,23 @@ def path(logp: np.ndarray, lengths: np.ndarray, cost: np.ndarray) -> np.ndarray:
 
 #: Where one sentence ends and another may begin, in bytes: behind it a change of language is cheap.
 _BREAK = re.compile(rb"(?:[.?!;:\xa6]['\")\]]*\s+|\s*\n+\s*|\s(?:--|\||>>|\xe2\x80\x93)\s+)(?:(?:--|>>|[*>-]|\d+[.)])\s*)*")
-_BLANK = re.compile(rb"\s")
+#: The same where none of the other marks is in the text.
+_STOP = re.compile(rb"[.?!;:\xa6]['\")\]]*\s+(?:(?:[*>-]|\d+[.)])\s*)*")
+_OTHER_BREAKS = (b"\n", b"--", b"|", b">>", b"\xe2\x80\x93")
+#: Bytes that a regular expression takes for white space.
+_BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 #: Marks of program text; two of them in a piece make it code.
 _CODE = re.compile(rb"\w\(|\w\.\w+\(|\):|[{}\[\]<>_`]|[+=-]?=|;\s*$|\bSELECT\b|\bWHERE\b|\bdef\b|\breturn\b")
-CHUNK = 1024
+#: Marks without which, and without its words, there is no program text.
+_CODE_MARKS = b"(){}[]<>_`=;"
+#: Bytes that the network takes at once, and how many more on either side it sees without judging them.
+PART, MARGIN = 2048, 256
 
 
 def _pieces(raw: bytes) -> Iterator[tuple[int, int]]:
     """Begin and end of the sentences of a text."""
     at = 0
-    for m in _BREAK.finditer(raw):
+    for m in (_BREAK if any(x in raw for x in _OTHER_BREAKS) else _STOP).finditer(raw):
         # a line of a word or two is a broken line, not a sentence
         if m.end() > at and (m[0][:1] in b".?!;:\xa6" or len(raw[at : m.start()].split()) > 3):
             yield at, m.end()
@@ -139,92 +155,135 @@ def _pieces(raw: bytes) -> Iterator[tuple[int, int]]:
         yield at, len(raw)
 
 
-def _costs(raw: bytes, cheap: float, dear: float) -> tuple[np.ndarray, np.ndarray]:
-    """What a change costs before each byte, and which bytes are text rather than code."""
-    cost = np.full(len(raw), np.inf)
-    for m in _BLANK.finditer(raw):
-        if m.end() < len(raw):
-            cost[m.end()] = dear
-    speaks = np.ones(len(raw), bool)
-    for b, e in _pieces(raw):
-        cost[b] = cheap
-        piece = raw[b:e].replace(b">>", b"").replace(b"--", b"")
-        if b'":' not in piece and len(_CODE.findall(piece)) >= 2:
-            speaks[b:e] = False
-    return cost, speaks if speaks.any() else np.ones(len(raw), bool)
-
-
-def _chunks(raw: bytes) -> Iterator[tuple[int, bytes]]:
-    """Parts of a long text, cut at blanks, so that no text takes more than so many steps."""
+class _Texts:
+    """Texts one behind the other as bytes, and the steps at whose beginning a change of language is possible."""
+
+    def __init__(self, raw: list[bytes], part: int, cheap: float, dear: float) -> None:
+        self.raw = raw
+        size = np.array(list(map(len, raw)), np.int64)
+        self.begin = np.concatenate(([0], np.cumsum(size)))
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        cost = np.full(len(data), np.inf)
+        cost[1:][_BLANK[data[:-1]]] = dear
+        self.speaks = np.ones(len(data), bool)
+        breaks: list[int] = []
+        for t, at in zip(raw, self.begin.tolist()):
+            code = len(t.translate(None, _CODE_MARKS)) < len(t) or any(w in t for w in (b"SELECT", b"WHERE", b"def", b"return"))
+            silent = 0
+            for b, e in _pieces(t):
+                breaks.append(at + b)
+                if code:
+                    piece = t[b:e].replace(b">>", b"").replace(b"--", b"")
+                    if b'":' not in piece and len(_CODE.findall(piece)) >= 2:
+                        self.speaks[at + b : at + e] = False
+                        silent += e - b
+            if silent == len(t):
+                self.speaks[at : at + len(t)] = True
+        cost[breaks] = cheap
+        cost[self.begin[:-1]] = 0
+        # (text, first and last byte that are judged) of each part that goes through the network
+        parts = -(-size // part)
+        self.owner = np.repeat(np.arange(len(raw)), parts)
+        self.lo = self.begin[self.owner] + (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * part
+        self.hi = np.minimum(self.lo + part, self.begin[self.owner + 1])
+        step = np.isfinite(cost)
+        step[self.lo] = True  # a step that began in the part before goes on
+        self.at = np.flatnonzero(step)
+        self.cost = cost[self.at]
+
+    def seen(self, u: int, margin: int) -> tuple[bytes, int]:
+        """The bytes of a part with those beside it, and how many of these are before it."""
+        t, at = self.raw[self.owner[u]], int(self.begin[self.owner[u]])
+        lo, hi = int(self.lo[u]) - at, int(self.hi[u]) - at
+        return t[max(0, lo - margin) : hi + margin], min(lo, margin)
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1 … for each size, one behind the other."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+
+
+def _batches(sizes: list[int], most: int, room: int) -> Iterator[list[int]]:
+    """Indexes in order of size, as many of about the same size as make up a batch of bounded size."""
+    order = sorted(range(len(sizes)), key=sizes.__getitem__)
     at = 0
-    while len(raw) - at > CHUNK:
-        cut = max(raw.rfind(b" ", at + CHUNK // 2, at + CHUNK), raw.rfind(b"\n", at + CHUNK // 2, at + CHUNK)) + 1
-        if cut <= 0:
-            cut = at + CHUNK
-            while cut > at + CHUNK - 4 and raw[cut] & 0xC0 == 0x80:  # not within a letter
-                cut -= 1
-        yield at, raw[at:cut]
-        at = cut
-    yield at, raw[at:]
+    while at < len(order):
+        take = 1
+        while at + take < len(order) and take < most and (take + 1) * sizes[order[at + take]] <= room:
+            take += 1
+        yield order[at : at + take]
+        at += take
 
 
 def label_texts(
-    net: ByteGRU, texts: list[str | None], labels: list[str | None], cheap: float = 12.0, dear: float = 60.0, floor: float = -4.0, min_words: int = 3, min_letters: int = 12, doubt: float = 14.0, trust: float = 0.88
+    net: ByteGRU, texts: list[str | None], labels: list[str | None], cheap: float = 12.0, dear: float = 60.0, floor: float = -4.0, min_words: int = 3, min_letters: int = 12, doubt: float = 14.0, trust: float = 0.88, part: int = PART, margin: int = MARGIN
 ) -> list[list[tuple[str, float, int, int]]]:
     """Per text the segments (language, confidence, begin, end) in code points, in order.
 
     A stretch with fewer than ``min_words`` words or ``min_letters`` letters, or that is less than ``doubt`` nats likelier in its own language than
     in that of the text or has a confidence below ``trust``, is no segment of its own; and a text that is no surer than that to be in
     another language than its label's keeps the label.
+
+    Texts longer than ``part`` bytes go through the network in parts, which see ``margin`` bytes of their neighbours on either side, more than
+    it remembers. The path goes through the whole text.
     """
-    raw = [(t or "").encode("utf-8", "replace") for t in texts]
-    units = [(i, at, part) for i, t in enumerate(texts) if t and _LETTERS.search(t) for at, part in _chunks(raw[i])]
-    units.sort(key=lambda u: len(u[2]))
-    found: dict[int, list[list]] = {}
-    at = 0
-    while at < len(units):
-        # as many parts of about the same length as make up a batch of bounded size
-        take = 1
-        while at + take < len(units) and take < 512 and (take + 1) * len(units[at + take][2]) <= 200_000:
-            take += 1
-        part = units[at : at + take]
-        at += take
-        lengths = np.array([len(u[2]) for u in part], np.int64)
-        steps = int(lengths.max())
-        x = np.frombuffer(b"".join(u[2].ljust(steps, b"\0") for u in part), np.uint8).reshape(len(part), steps)
-        full = net.scores(x, lengths)
-        logp = np.maximum(full, np.float32(floor))
-        cost = np.full(x.shape, np.inf)
-        for row, (_, _, r) in enumerate(part):
-            cost[row, : len(r)], speaks = _costs(r, cheap, dear)
-            logp[row, : len(r)][~speaks] = 0
-        best = path(logp, lengths, cost)
-        for row, (i, offset, r) in enumerate(part):
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(best[row, : len(r)])) + 1, [len(r)]))
-            for b, e in zip(cuts[:-1], cuts[1:]):
-                s = r[b:e].decode("utf-8", "ignore")
-                found.setdefault(i, []).append([int(best[row, b]), logp[row, b:e].sum(axis=0, dtype=np.float64), int(np.count_nonzero(logp[row, b:e, 0])), offset + int(b), offset + int(e), len(_WORDS.findall(s)), len(_LETTERS.findall(s)), np.exp(full[row, b:e]).sum(axis=0, dtype=np.float64)])
+    which = [i for i, t in enumerate(texts) if t and _LETTERS.search(t)]
     out: list[list[tuple[str, float, int, int]]] = [[] for _ in texts]
-    sure = lambda p: float(p[7][p[0]] / (p[4] - p[3]))
-    for i, parts in found.items():
-        parts.sort(key=lambda p: p[3])
-        merged: list[list] = []
-        for p in parts:
-            if merged and merged[-1][0] == p[0]:
-                q = merged[-1]
-                q[1], q[2], q[4], q[5], q[6], q[7] = q[1] + p[1], q[2] + p[2], p[4], q[5] + p[5], q[6] + p[6], q[7] + p[7]
-            else:
-                merged.append(p)
-        main = max(merged, key=lambda p: (p[2], p[6]))[0]
-        kept = [p for p in merged if p[0] == main or p[5] >= min_words and p[6] >= min_letters and p[1][p[0]] - p[1][main] >= doubt and sure(p) >= trust]
+    if not which:
+        return out
+    have = _Texts([texts[i].encode("utf-8", "replace") for i in which], part, cheap, dear)
+    first, last = np.searchsorted(have.at, have.lo), np.searchsorted(have.at, have.hi)
+    gain, mass, count = np.zeros((len(have.at), len(LANGUAGES))), np.zeros((len(have.at), len(LANGUAGES))), np.zeros(len(have.at), np.int64)
+    seen = [have.seen(u, margin) for u in range(len(have.lo))]
+    for own in _batches([len(x) for x, _ in seen], 768, 200_000):
+        lengths = np.array([len(seen[u][0]) for u in own], np.int64)
+        width = int(lengths.max())
+        x = np.frombuffer(b"".join(seen[u][0].ljust(width, b"\0") for u in own), np.uint8).reshape(len(own), width)
+        skip, size = np.array([seen[u][1] for u in own]), have.hi[own] - have.lo[own]
+        chance, full = net.probabilities(x, lengths, skip, size)
+        steps = last[own] - first[own]
+        to = _ranges(first[own], steps)
+        cut = have.at[to] - np.repeat(have.lo[own] - (np.cumsum(size) - size), steps)
+        spoken = have.speaks[_ranges(have.lo[own], size)]
+        mass[to] = np.add.reduceat(chance, cut, axis=1).T
+        np.maximum(full, np.float32(floor), out=full)
+        full *= spoken
+        gain[to] = np.add.reduceat(full, cut, axis=1).T
+        count[to] = np.add.reduceat(spoken, cut, dtype=np.int64)
+    # the likeliest path through each text's steps
+    edge = np.searchsorted(have.at, have.begin)
+    steps = np.diff(edge)
+    best = np.zeros(len(have.at), np.int64)
+    for own in _batches(steps.tolist(), 4096, 200_000):
+        n = steps[own]
+        row, column, flat = np.repeat(np.arange(len(own)), n), _ranges(np.zeros(len(own), np.int64), n), _ranges(edge[:-1][own], n)
+        g, c = np.zeros((len(own), int(n.max()), len(LANGUAGES))), np.full((len(own), int(n.max())), np.inf)
+        g[row, column], c[row, column] = gain[flat], have.cost[flat]
+        best[flat] = path(g, n, c)[row, column]
+    # stretches of one language
+    change = np.concatenate(([True], best[1:] != best[:-1]))
+    change[edge[:-1]] = True
+    new = np.flatnonzero(change)
+    langs, stop = best[new], np.append(have.at[new][1:], have.begin[-1])
+    gain, mass, count = np.add.reduceat(gain, new, axis=0), np.add.reduceat(mass, new, axis=0), np.add.reduceat(count, new)
+    mass /= (stop - have.at[new])[:, None]
+    sure = mass[np.arange(len(new)), langs]
+    of = np.searchsorted(new, edge)
+    for k, (i, raw) in enumerate(zip(which, have.raw)):
+        lo, hi = int(of[k]), int(of[k + 1])
+        keep, main, said = [lo], int(langs[lo]), (texts[i],)
+        if hi - lo > 1:
+            at = have.at[new[lo:hi]] - have.begin[k]
+            said = [raw[b:e].decode("utf-8", "ignore") for b, e in zip(at, [*at[1:], len(raw)])]
+            words, letters = [len(_WORDS.findall(x)) for x in said], [sum(map(str.isalpha, x)) for x in said]
+            main = int(langs[max(range(lo, hi), key=lambda j: (count[j], letters[j - lo]))])
+            keep = [j for j in range(lo, hi) if langs[j] == main or words[j - lo] >= min_words and letters[j - lo] >= min_letters and gain[j, langs[j]] - gain[j, main] >= doubt and sure[j] >= trust]
+        named, p = [int(langs[j]) for j in keep], [float(sure[j]) for j in keep]
         label = LANGUAGES.index(labels[i]) if labels[i] in LANGUAGES else None
-        if label is not None and label != main and all(p[0] == main for p in kept) and (sum(p[1][main] - p[1][label] for p in kept) < doubt or max(map(sure, kept)) < trust):
-            for p in kept:
-                p[0] = label
-        for p in kept:
-            begin, end = p[3:5]
-            first = len(raw[i][:begin].decode("utf-8", "ignore"))
-            out[i].append((LANGUAGES[p[0]], round(sure(p), 6), first, first + len(raw[i][begin:end].decode("utf-8", "ignore"))))
+        if label is not None and label != main and all(x == main for x in named) and (sum(gain[j, main] - gain[j, label] for j in keep) < doubt or max(p) < trust):
+            named, p = [label] * len(keep), [float(mass[j, label]) for j in keep]
+        starts = [0, *accumulate(map(len, said))]
+        out[i] = [(LANGUAGES[x], round(y, 6), starts[j - lo], starts[j - lo + 1]) for j, x, y in zip(keep, named, p)]
     return out
 
 

@@ -384,6 +384,33 @@ def test_gradients():
             assert grad[k][at] == pytest.approx((up - down) / (2 * eps), abs=2e-3)
 
 
+def test_probabilities_of_padded_texts():
+    """The way forth and back in place is the network that is trained; padding has no part in it."""
+    net, rng = bytegru.ByteGRU(3, 4), np.random.default_rng(1)
+    n = np.array([9, 4, 7])
+    x = rng.integers(97, 123, (3, 9)).astype(np.uint8) * (np.arange(9) < n[:, None]).astype(np.uint8)
+    chance, logs = net.probabilities(x, n, np.array([2, 0, 6]), np.array([5, 4, 1]))
+    y = np.zeros((3, 9), np.int64)
+    for row, begin, size, at in ((0, 2, 5, 0), (1, 0, 4, 5), (2, 6, 1, 9)):
+        for k in range(size):
+            one = np.full((1, n[row]), -1)
+            one[0, begin + k] = y[row, begin + k]
+            loss, _ = net.gradients(x[row : row + 1, : n[row]], n[row : row + 1], one)
+            assert -logs[0, at + k] == pytest.approx(loss, abs=1e-4)
+    assert np.allclose(chance.sum(axis=0), 1, atol=1e-5) and np.allclose(np.exp(logs), chance, atol=1e-5)
+
+
+def test_parts_of_long_texts_agree_with_the_whole():
+    en, fr = "the old house near the river is for sale and my neighbour says so. ", "la vieille maison près de la rivière est à vendre. "
+    net = language.train([(en * 2, "English"), (fr * 2, "French")] * 20, steps=(40, 40), batch=24, width=96, hidden=12)
+    texts = [en * 30 + fr * 30, fr * 50, en * 8 + fr * 9 + en * 7]
+    whole = language.label_texts(net, texts, [None] * 3, part=1 << 20)
+    parts = language.label_texts(net, texts, [None] * 3, part=500, margin=256)
+    assert [[x[0] for x in f] for f in whole] == [["English", "French"], ["French"], ["English", "French", "English"]]
+    assert [[(x[0], x[2], x[3]) for x in f] for f in parts] == [[(x[0], x[2], x[3]) for x in f] for f in whole]
+    assert all(a[1] == pytest.approx(b[1], abs=0.01) for f, g in zip(whole, parts) for a, b in zip(f, g))
+
+
 def test_languages(spark):
     en = ["the old house near the river is for sale", "please tell me how to clean the kitchen", "my neighbour says that the water is cold"]
     fr = ["la vieille maison près de la rivière est à vendre", "dites-moi comment nettoyer la cuisine", "mon voisin dit que cette eau est froide"]
