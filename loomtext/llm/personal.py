@@ -93,19 +93,19 @@ _FULL = re.compile(rf"({_PART}(?:-{_PART})?)\s({_INITIALS})({_FAMILY})")
 _TURNED = re.compile(rf"({_FAMILY}),\s({_PART})((?:\s[^\W\d_]\.)*)")
 #: Words that a person's name follows.
 _BEFORE = re.compile(
-    r"(?:\b(?:name|nombre|nom|nome|naam|namn)\s?:\s*|\bmy name is |\bi am called |\bje m['’]appelle |\bme llamo |\bmein name ist |\bich heiße |\bmi nombre es |\bmon nom est |\bsign(?:ed)? (?:the letter )?(?:as|by) |\bregards,\s+|\bsincerely,\s+|\bgrüßen,?\s+|\bcordialement,\s+|\bsaludos,\s+"
-    r"|\bbetween us and |\bsigné par |\blo firmó |\bden vertrag hat |\bask |\bcontact |\bdear |\bpregunte? (?:a|por) |\bdemandez |\bfragen sie |\b(?:mr|mrs|ms|dr|prof|herr|frau|mme|m|sra?|srta|madame|monsieur|señora?)\.?\s)$",
+    r"(?:\b(?:name|nombre|nom|nome|naam|namn)\s?:\s*|\bmy name is |\bi am called |\bje m['’]appelle |\bme llamo |\bmein name ist |\bich heiße |\bmi nombre es |\bmon nom est |\b(?:sign(?:ed)?|written|sent|approved) (?:as|by) |\bregards,\s+|\bsincerely,\s+|\bgrüßen,?\s+|\bcordialement,\s+|\bsaludos,\s+"
+    r"|\bsignée? par |\bfirmad[oa] por |\bunterschrieben von |\battn:? |\bask |\bcontact |\bdear |\bpregunte? (?:a|por) |\bdemandez |\bfragen sie |\b(?:mr|mrs|ms|dr|prof|herr|frau|mme|m|sra?|srta|madame|monsieur|señora?)\.?\s)$",
     re.I,
 )
-#: Words that follow a person's name.
-_AFTER = re.compile(r"^(?:\s(?:from accounting|unterschrieben|and i need|et j['’]attends|y necesito|und ich brauche|in accounting|aus der)\b|\s*(?:[|;\t\n]|$))", re.I)
+#: Where a field or a line ends behind a person's name.
+_AFTER = re.compile(r"^\s*(?:[|;\t\n]|$)")
 _TITLE = re.compile(r"^(?:mr|mrs|ms|dr|prof|herr|frau|mme|sra?|srta|madame|monsieur|señora?)\.?$", re.I)
 #: Words before a number, by what they announce.
-_SAY_PHONE = re.compile(r"(?:\b(?:tel|phone|call|mobile|cell|text|fax|portable|móvil|telefon|handynummer|téléphone|teléfono|appelez-moi|llámame|rufen sie|answers under|ring|number is)\b[^\d|;\n]{0,24})$", re.I)
+_SAY_PHONE = re.compile(r"(?:\b(?:tel|phone|call|mobile|cell|text|fax|portable|móvil|telefon|handynummer|téléphone|teléfono|appelez-moi|llámame|rufen sie|erreichbar unter|reachable (?:at|on)|ring|number is)\b[^\d|;\n]{0,24})$", re.I)
 _SAY_ID = re.compile(r"(?:\b(?:id|identity|social security|sécurité sociale|seguridad social|identité|identidad|identificación|passport|passeport|pasaporte|reisepass\w*|licen[cs]e|permis|führerschein\w*|ausweis\w*|steuer\w*|tax|national|nif|dni|nie|ssn|fiscal\w*|personalausweis\w*)\b[^\d|;\n]{0,24})$", re.I)
-_SAY_AFTER_ID = re.compile(r"^\W{0,2}\s?(?:expires|caduca|valable|läuft|fehlt|was stolen|gilt)", re.I)
+_SAY_AFTER_ID = re.compile(r"^\W{0,2}\s?(?:expires|expired|valid|caduca|caducó|válid[oa]|valable|expire|läuft|gültig|gilt)", re.I)
 _SAY_OTHER = re.compile(r"(?:\b(?:ticket|version|room|building|floor|shipped|address|range|order|item|page|chapter|since|seit|depuis|desde|dal|qty|port|line|units?|percent|invoice|code)\b[^\d\n]{0,12}|[#$€£=<>{x]\s?)$", re.I)
-_SAY_PLACE = re.compile(r"(?:\b(?:address|ship to|deliver(?:y|ed)?(?: it)?(?: to)?|office is|live (?:at|in)|adresse|anschrift|dirección|livraison au|habite|vivo en|entrega en|wohne in der|lieferung bitte an|oficina|bureau|büro)\b\W{0,3}(?:\w{1,3}\s)?)$", re.I)
+_SAY_PLACE = re.compile(r"(?:\b(?:address|ship to|deliver(?:y|ed)?(?: it)?(?: to)?|office is|live (?:at|in)|adresse|anschrift|dirección|livraison au|habite|vivo en|entrega en|wohnt? in der|lieferung (?:bitte )?an|oficina|bureau|büro)\b\W{0,3}(?:\w{1,3}\s)?)$", re.I)
 _SAY_MAIL = re.compile(r"(?:\b(?:mail|e-mail|courriel|correo|cc|to|at|login is|écrire à|reach me at|schreiben|unter)\b\W{0,3})$", re.I)
 
 
@@ -209,8 +209,8 @@ _COMMON = frozenset("the a of in on for to is was and or guests words days weeks
 _LINKS = frozenset("de la los del des le les du of the".split())
 #: Words that a place for a name may follow.
 _ANCHORS = (
-    "name:", "name :", "name is", "name ist", "nombre:", "nombre :", "nombre es", "nom:", "nom :", "nom est", "nome:", "naam:", "namn:", "am called", "appelle", "llamo", "heiße", "the letter as", "letter by", "signed as", "signed by", "signé par",
-    "regards", "sincerely", "cordialement", "saludos", "grüßen", "us and", "firmó", "vertrag hat", " ask", "\nask", "contact", "dear", " mr", " ms", " dr", "prof.", "herr", "frau", " mme", "madame", "monsieur", "señor", " sra", "srta", "pregunt", "demandez", "fragen sie",
+    "name:", "name :", "name is", "name ist", "nombre:", "nombre :", "nombre es", "nom:", "nom :", "nom est", "nome:", "naam:", "namn:", "am called", "appelle", "llamo", "heiße", "sign as", "sign by", "signed as", "signed by", "written by", "sent by", "approved by", "signé par", "signée par", "firmado por", "firmada por", "unterschrieben von", "attn",
+    "regards", "sincerely", "cordialement", "saludos", "grüßen", " ask", "\nask", "contact", "dear", " mr", " ms", " dr", "prof.", "herr", "frau", " mme", "madame", "monsieur", "señor", " sra", "srta", "pregunt", "demandez", "fragen sie",
 )
 
 
@@ -295,8 +295,11 @@ _JOINING = frozenset("and y et und from is has was who will ist hat est es a the
 
 
 # --- statistics over the collection -----------------------------------------------------------------------------------
-def learn_names(docs: DataFrame, given: frozenset[str], min_count: int = 2, max_names: int = 50_000) -> Names:
-    """Names that stand in telling places, counted over all documents; at most ``max_names`` of either sort are kept."""
+def learn_names(docs: DataFrame, given: frozenset[str], min_count: int = 2, max_names: int = 100_000) -> Names:
+    """Names that stand in telling places, counted over all documents.
+
+    A name counts from ``min_count`` places on and from a share of one in ``max_names`` of all places, so there are never more than that.
+    """
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, finder, c = Names(given), Names(frozenset()).finder(), Counter()
@@ -311,8 +314,9 @@ def learn_names(docs: DataFrame, given: frozenset[str], min_count: int = 2, max_
                             c["f" + f] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["name", "n"])
 
-    rows = spread(docs.select("text")).mapInArrow(tell, "name string, n long").groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    top = rows.orderBy(F.desc("n"), "name").limit(2 * max_names).collect()
+    rows = cut_lineage(spread(docs.select("text")).mapInArrow(tell, "name string, n long").groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count), "names")
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    top = rows.where(F.col("n") * max_names >= total).collect()
     word = lambda s: s not in _JOINING and s not in _COMMON
     return Names(given, frozenset(r[0][1:] for r in top if r[0][0] == "g" and word(r[0][1:])), frozenset(r[0][1:] for r in top if r[0][0] == "f" and word(r[0][1:])))
 
@@ -322,54 +326,58 @@ class SpanModel:
 
     def __init__(self, rows: list[tuple[str, str, int]], rounds: int = 25, epochs: int = 300) -> None:
         self.features: dict[str, int] = {}
-        votes = [r[0] for r in rows]
+        self.right: dict[tuple[str, int], float] = {}
         weight = np.array([r[2] for r in rows], float)
-        post = self._em(votes, weight, rounds)
-        x = [self._active(v, s, grow=True) for v, s, _ in rows]
+        post = self._em([r[0] for r in rows], weight, rounds)
+        each = [self._active(v, s, grow=True) for v, s, _ in rows]
         self.w = np.zeros((len(self.features), len(KINDS)))
-        a = np.zeros((len(rows), len(self.features)))
-        for i, f in enumerate(x):
-            a[i, f] = 1
+        if not rows:
+            return
+        # the features of a row as a list of numbers: a row has a dozen of them, whatever their number in all
+        flat, first = np.concatenate(each), np.cumsum([0, *map(len, each[:-1])])
+        owner = np.repeat(np.arange(len(rows)), list(map(len, each)))
         share = np.sqrt(weight) / np.sqrt(weight).sum()
-        for _ in range(epochs if len(rows) else 0):
-            z = a @ self.w
+        for _ in range(epochs):
+            z = np.add.reduceat(self.w[flat], first, axis=0)
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            self.w -= 4.0 * (a.T @ ((p - post) * share[:, None]) + 1e-5 * self.w)
+            off = ((p - post) * share[:, None])[owner]
+            self.w -= 4.0 * (np.stack([np.bincount(flat, off[:, k], len(self.w)) for k in range(len(KINDS))], 1) + 1e-5 * self.w)
 
-    @staticmethod
-    def _em(votes: list[str], weight: np.ndarray, rounds: int) -> np.ndarray:
+    def _em(self, votes: list[str], weight: np.ndarray, rounds: int) -> np.ndarray:
         """Posterior over kinds per pattern. A labeler is (kind of candidate, place in the pattern); kinds other than the candidate's or
-        one that was voted for are out. One coin per labeler: the chance that its vote is right."""
-        n = len(votes)
-        allowed = np.zeros((n, len(KINDS)), bool)
+        one that was voted for are out. Estimated are the chance that a labeler's vote is right, and how many candidates of a kind are nothing;
+        before any count these are eight of ten, and a third."""
+        n, width = len(votes), max((len(v) for v in votes), default=1) - 1
+        kind = np.array([int(v[0]) for v in votes], np.int64)
+        vote = np.full((n, width), -1)
         for i, v in enumerate(votes):
-            allowed[i, [NONE, int(v[0]), *(int(c) for c in v[1:] if c != ".")]] = True
-        right: dict[tuple[str, int], float] = {}
-        for v in votes:
-            for j, c in enumerate(v[1:]):
-                if c != ".":
-                    right.setdefault((v[0], j), 0.8)
-        prior = np.where(np.arange(len(KINDS)) == NONE, 0.35, 0.65)
+            vote[i, : len(v) - 1] = [-1 if c == "." else int(c) for c in v[1:]]
+        cast = vote >= 0
+        allowed = (np.arange(len(KINDS)) == kind[:, None]) | (np.arange(len(KINDS)) == NONE)
+        for j in range(width):
+            allowed |= (np.arange(len(KINDS)) == vote[:, j : j + 1]) & cast[:, j : j + 1]
+        others = np.maximum(2, allowed.sum(axis=1)) - 1
+        right, nothing = np.full((len(KINDS), width), 0.8), np.full(len(KINDS), 0.35)
         post = np.zeros((n, len(KINDS)))
         for _ in range(rounds):
-            for i, v in enumerate(votes):
-                logs = np.where(allowed[i], np.log(prior), -np.inf)
-                k = max(2, int(allowed[i].sum()))
-                for j, c in enumerate(v[1:]):
-                    if c != ".":
-                        r = right[v[0], j]
-                        logs += np.where(np.arange(len(KINDS)) == int(c), np.log(r), np.log((1 - r) / (k - 1)))
-                p = np.exp(logs - logs.max())
-                post[i] = p / p.sum()
-            got: dict[tuple[str, int], list[float]] = {}
-            for i, v in enumerate(votes):
-                for j, c in enumerate(v[1:]):
-                    if c != ".":
-                        g = got.setdefault((v[0], j), [8.0, 10.0])  # eight of ten right before any count
-                        g[0] += weight[i] * post[i, int(c)]
-                        g[1] += weight[i]
-            right = {k: min(0.99, max(0.55, a / b)) for k, (a, b) in got.items()}
+            none = nothing[kind][:, None]
+            logs = np.where(np.arange(len(KINDS)) == NONE, np.log(none), np.log(1 - none))
+            for j in range(width):
+                r = right[kind, j][:, None]
+                said = np.where(np.arange(len(KINDS)) == vote[:, j : j + 1], np.log(r), np.log((1 - r) / others[:, None]))
+                logs = logs + np.where(cast[:, j : j + 1], said, 0.0)
+            logs = np.where(allowed, logs, -np.inf)
+            post = np.exp(logs - logs.max(axis=1, keepdims=True))
+            post /= post.sum(axis=1, keepdims=True)
+            for j in range(width):
+                at = np.flatnonzero(cast[:, j])
+                hit = np.bincount(kind[at], weight[at] * post[at, vote[at, j]], len(KINDS))
+                right[:, j] = (8 + hit) / (10 + np.bincount(kind[at], weight[at], len(KINDS)))
+            right = np.clip(right, 0.55, 0.99)  # no labeler is taken for certain, or for a contrarian
+            nothing = np.clip((35 + np.bincount(kind, weight * post[:, NONE], len(KINDS))) / (100 + np.bincount(kind, weight, len(KINDS))), 0.05, 0.95)
+        self.right = {(KINDS[k], j): float(right[k, j]) for k in range(1, len(KINDS)) for j in range(width)}
+        self.nothing = {KINDS[k]: float(nothing[k]) for k in range(1, len(KINDS))}
         return post
 
     def _active(self, votes: str, shape: str, grow: bool = False) -> list[int]:
@@ -391,9 +399,12 @@ class SpanModel:
 class PersonalInformation:
     """Found spans and redacted texts of a table of documents."""
 
-    def __init__(self, docs: DataFrame, given_names: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_patterns: int = 20_000) -> None:
+    def __init__(self, docs: DataFrame, given_names: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_patterns: int = 20_000, max_given: int = 1_000_000) -> None:
+        """The table of given names goes to all tasks; more than ``max_given`` of them are an error."""
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-        given = frozenset(r[0].lower() for r in given_names.select("given_name").where("given_name IS NOT NULL").distinct().limit(200_000).collect())
+        given = frozenset(r[0].lower() for r in given_names.select("given_name").where("given_name IS NOT NULL").distinct().limit(max_given + 1).collect())
+        if len(given) > max_given:
+            raise ValueError(f"more than {max_given} given names")
         names = learn_names(self.docs, given)
         self.shared_names = docs.sparkSession.sparkContext.broadcast(names)  # bounded by max_names
         shared = self.shared_names
