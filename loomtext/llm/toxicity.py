@@ -80,28 +80,27 @@ def grams(words: list[str], known: set[str] | frozenset[str] | dict[str, int]) -
         a, b = b, w
 
 
-def border(counts: list[tuple[int, int]], default: float = 0.53, rounds: int = 40) -> float:
-    """Flag rate that parts harmless from abusive runs: the middle, in log-odds, of the two upper parts of a mixture of binomials."""
-    data = [(y, n) for y, n in counts if n >= 12]
-    if len(data) < 60:
-        return default
-    rates, shares = [0.05, 0.33, 0.75], [0.4, 0.3, 0.3]
+#: What is known of the three parts of runs before any count: their flag rates, and for how many runs of how many texts that stands.
+BEFORE = ((0.05, 0.33, 0.75), 10, 12)
+
+
+def border(counts: list[tuple[int, int]], rounds: int = 60) -> float:
+    """Flag rate that parts harmless from abusive runs: the middle, in log-odds, of the two upper parts of a mixture of binomials.
+
+    Runs of 12 texts or more count. What is known beforehand (``BEFORE``) counts as some runs of its own in each part, so it decides where there are none,
+    and gives way to the counts the more there are of them.
+    """
+    start, runs, texts = BEFORE
+    data = np.array([(y, n) for y, n in counts if n >= 12], float).reshape(-1, 2)
+    y, n = data[:, :1], data[:, 1:]
+    rates, shares = np.array(start), np.array([0.4, 0.3, 0.3])
     for _ in range(rounds):
-        top, bottom, mass = [0.0] * 3, [0.0] * 3, [0.0] * 3
-        for y, n in data:
-            logs = [math.log(s) + y * math.log(r) + (n - y) * math.log1p(-r) for r, s in zip(rates, shares)]
-            m = max(logs)
-            p = [math.exp(x - m) for x in logs]
-            z = sum(p)
-            for k in range(3):
-                top[k] += p[k] / z * y
-                bottom[k] += p[k] / z * n
-                mass[k] += p[k] / z
-        rates = [min(0.98, max(0.005, (t + 0.5) / (b + 1))) for t, b in zip(top, bottom)]
-        shares = [(m + 1) / (len(data) + 3) for m in mass]
-    low, high = sorted(rates)[1:]
-    if not (0.15 < low < 0.55 < high and min(shares) > 0.02 and high - low > 0.15):
-        return default
+        logs = np.log(shares) + y * np.log(rates) + (n - y) * np.log1p(-rates)
+        p = np.exp(logs - logs.max(axis=1, keepdims=True)) if len(logs) else np.zeros((0, 3))
+        p /= p.sum(axis=1, keepdims=True)
+        rates = np.clip(((p * y).sum(axis=0) + runs * texts * np.array(start)) / ((p * n).sum(axis=0) + runs * texts), 0.005, 0.98)
+        shares = (p.sum(axis=0) + runs / 3) / (len(data) + runs)
+    low, high = np.sort(rates)[1:]
     # where both parts are equally likely for one observation
     odds = lambda r: math.log(r / (1 - r))
     return 1 / (1 + math.exp(-(odds(low) + odds(high)) / 2))
@@ -226,20 +225,27 @@ def _sum(df: DataFrame, fn, schema: str, key: str) -> DataFrame:
     return df.mapInArrow(fn, schema).groupBy(key).agg(*(F.sum(c).alias(c) for c in [x.split()[0] for x in schema.split(", ")] if c != key))
 
 
-def fit(messages: DataFrame, min_flagged: int = 3, max_runs: int = 200_000, prior: float = 20.0, even: float = 4.0) -> ToxicModel:
-    """Counts over all messages; the runs kept are those in ``min_flagged`` flagged texts or more, at most ``max_runs`` of them.
+def fit(messages: DataFrame, min_flagged: int = 3, max_runs: int = 500_000, prior: float = 20.0, even: float = 4.0) -> ToxicModel:
+    """Counts over all messages. A run is kept from ``min_flagged`` flagged texts on, and from a share of one in ``max_runs`` of all the counts on;
+    so there are never more of them than that, and no order decides which.
 
     messages: text, toxic; one row a record.
     """
     spark = messages.sparkSession
     flagged = messages.where("toxic")
 
+    def frequent(counts: DataFrame) -> list:
+        counts = cut_lineage(counts, "runs")
+        total = counts.agg(F.sum("y")).first()[0] or 0
+        return counts.where(F.col("y") * max_runs >= total).collect()
+
     def flagged_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             c = Counter(w for t in b.column(0).to_pylist() for w in set(tokens(t)))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["run", "y"])
 
-    words = _sum(flagged.select("text"), flagged_words, "run string, y long", "run").where(F.col("y") >= min_flagged).orderBy(F.desc("y"), "run").limit(max_runs).collect()
+    words = _sum(flagged.select("text"), flagged_words, "run string, y long", "run").where(F.col("y") >= min_flagged)
+    words = frequent(words)
     known = frozenset(r[0] for r in words)
     vocab = spark.sparkContext.broadcast(known)  # at most max_runs words
 
@@ -251,7 +257,8 @@ def fit(messages: DataFrame, min_flagged: int = 3, max_runs: int = 200_000, prio
             c = Counter(r for t in b.column(0).to_pylist() for r in runs_of(t, vocab.value))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["run", "y"])
 
-    found = _sum(flagged.select("text"), flagged_runs, "run string, y long", "run").where(F.col("y") >= min(2, min_flagged)).orderBy(F.desc("y"), "run").limit(max_runs).collect()
+    found = _sum(flagged.select("text"), flagged_runs, "run string, y long", "run").where(F.col("y") >= min(2, min_flagged))
+    found = frequent(found)
     y = {r[0]: r[1] for r in found}
     wanted = spark.sparkContext.broadcast((known, y))  # at most max_runs runs
 
