@@ -173,7 +173,7 @@ def defects(titles: DataFrame, messages: DataFrame, lexicon: Lexicon | None = No
     titles: run_id, id, raw, error; messages: id, text, language. Both tables may deliver rows repeatedly.
     """
     lexicon = lexicon or fit_lexicon(messages)
-    shared = titles.sparkSession.sparkContext.broadcast(lexicon.scores)  # at most max_words rows
+    shared = titles.sparkSession.sparkContext.broadcast(lexicon.scores)  # bounded by the sample
     mine = titles.where("error IS NULL AND run_id IS NOT NULL").select("run_id", "id", "raw").groupBy("run_id").agg(F.max_by(F.struct("id", "raw"), F.struct(F.col("raw").isNotNull(), "id", "raw")).alias("r")).select("run_id", "r.id", "r.raw")
     texts = messages.select("id", F.col("text").alias("message")).where("id IS NOT NULL")
 

@@ -44,10 +44,10 @@ class Lexicon:
         return LANGUAGES[order[0]], total[order[0]] - total[order[1]], sum(1 for s in found if max(s) == s[order[0]])
 
 
-def fit_lexicon(messages: DataFrame, sample_rows: int = 40_000, min_count: int = 4, max_words: int = 60_000) -> Lexicon:
+def fit_lexicon(messages: DataFrame, sample_rows: int = 40_000, min_count: int = 4) -> Lexicon:
     """Counts words by cleaned label over a sample of at most about ``sample_rows`` messages, chosen by the hash of the id.
 
-    The counting runs in Spark; no more than ``max_words`` rows come to the driver. Labels are wrong at times, so each word's shares are smoothed.
+    The counting runs in Spark; the sample bounds the words that come to the driver. Labels are wrong at times, so each word's shares are smoothed.
     """
     labelled = messages.select("id", "text", clean_label(F.col("language")).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
     n = labelled.count()
@@ -56,7 +56,7 @@ def fit_lexicon(messages: DataFrame, sample_rows: int = 40_000, min_count: int =
     words = part.select("lang", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))).alias("word"))
     counts = words.groupBy("word").pivot("lang", list(LANGUAGES)).count()
     total = sum((F.coalesce(F.col(x), F.lit(0)) for x in LANGUAGES), F.lit(0))
-    rows = counts.withColumn("total", total).where(F.col("total") >= min_count).orderBy(F.desc("total"), "word").limit(max_words).collect()
+    rows = counts.withColumn("total", total).where(F.col("total") >= min_count).collect()
     docs = defaultdict(int, part.groupBy("lang").count().collect())
     size = [max(1, docs[x]) for x in LANGUAGES]
     scores = {}
