@@ -12,10 +12,31 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor can reach, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) a temporary folder is used.
+    Only on one machine (tests) a temporary folder is used where the session names none; on a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or os.path.join(tempfile.gettempdir(), "loomtext")
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "loomtext")
+    return folder
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is deleted when the application ends."""
+    sc = spark.sparkContext
+    path = f"{shared_folder(spark).rstrip('/')}/loomtext-{sc.applicationId}"
+    if path not in _made:
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _made.add(path)
+    return path
+
+
+_made: set[str] = set()
 
 
 def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
@@ -25,7 +46,7 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     it is reachable from all of them. The plan that follows starts from the files.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

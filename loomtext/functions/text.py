@@ -22,6 +22,8 @@ SUFFIXES = ("ing", "ed", "es", "s", "ly", "er")
 REFUSAL = ("i cannot", "i can't", "i can not", "i'm sorry", "i am sorry", "i'm unable", "as an ai", "i apologize")
 #: Fixed value: pieces of text before byte-pair merging; they cover the text without gaps.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: ideographs, kana and hangul, which bound a word like a mark.
+UNSPACED = r"\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}"
 
 
 def _col(c: Column | str) -> Column:
@@ -196,10 +198,11 @@ def latin_share(c) -> Column:
 
 def has_word(text, literal: str) -> Column:
     """The literal stands in the text, bounded by anything but letters and digits; ideographs, kana and hangul bound too."""
-    inner = r"[\p{L}\p{N}&&[^\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{ac00}-\x{d7af}]]"
+    inner = rf"[\p{{L}}\p{{N}}&&[^{UNSPACED}]]"
     return F.regexp_like(_col(text), F.lit(rf"(?<!{inner})\Q{literal}\E(?!{inner})"))
 
 
 def pre_split(c) -> Column:
-    """Pieces before byte-pair merging; joined they are the text."""
-    return F.regexp_extract_all(_col(c), F.lit(f"({PRE_SPLIT})"), F.lit(1))
+    """Pieces before byte-pair merging; joined they are the text. White space is that of ``SPACE``, which \\s isn't here."""
+    form = PRE_SPLIT.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")
+    return F.regexp_extract_all(_col(c), F.lit(f"({form})"), F.lit(1))

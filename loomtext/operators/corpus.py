@@ -123,16 +123,18 @@ def language_gate(df: DataFrame, words: DataFrame, id_col: str, text: str = "tex
     table: dict[str, list[str]] = {}
     for of, word in words.select("of", "word").orderBy("of", "word").collect():
         table.setdefault(of, []).append(word)
-    d = df.withColumn("_w", T.letter_runs(text))
-    total = F.size("_w")
-
-    def count(ws: list[str]) -> Column:
-        return F.size(F.filter("_w", lambda x: x.isin(*ws)))
-
-    hits = {of: count(ws) for of, ws in table.items()}
-    for i, (of, h) in enumerate(hits.items()):
-        d = d.withColumn(f"_h{i}", h)
-    best = F.greatest(*[F.col(f"_h{i}") for i in range(len(hits))], F.lit(0)) / total
-    own = F.coalesce(*[F.when(F.col(lang) == of, F.col(f"_h{i}")) for i, of in enumerate(hits)], F.lit(0)) / total
+    langs = sorted(table)
+    where: dict[str, list[int]] = {}
+    for i, of in enumerate(langs):
+        for w in table[of]:
+            where.setdefault(w, []).append(i)
+    lists = F.create_map(*[x for w, at in where.items() for x in (F.lit(w), F.array(*map(F.lit, at)))]) if where else F.expr("cast(map() as map<string, array<int>>)")
+    # each word is looked up once; what is counted are the places of the languages that have it
+    hits = F.flatten(F.filter(F.transform(T.letter_runs(text), lambda w: lists[w]), lambda x: x.isNotNull()))
+    d = df.withColumn("_x", F.explode(F.array(F.struct(F.size(T.letter_runs(text)).alias("n"), hits.alias("hits")))))
+    total = F.col("_x.n")
+    count = lambda i: F.size(F.filter("_x.hits", lambda x: x == i))
+    best = F.greatest(*map(count, range(len(langs))), F.lit(0), F.lit(0)) / total
+    own = F.coalesce(*[F.when(F.col(lang) == of, count(i)) for i, of in enumerate(langs)], F.lit(0)) / total
     off = (total >= min_tokens) & (best >= min_best) & (own < tolerance * best)
-    return d.withColumn("rejected", F.when(total > 0, off).otherwise(F.lit(False)) | (T.latin_share(text) < min_latin)).drop("_w", *[f"_h{i}" for i in range(len(hits))])
+    return d.withColumn("rejected", F.when(total > 0, off).otherwise(F.lit(False)) | (T.latin_share(text) < min_latin)).drop("_x")

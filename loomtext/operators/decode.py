@@ -28,7 +28,7 @@ def in_text_order(words: Column) -> Column:
 
 def without(words: Column, stop: list[str], least: int) -> Column:
     """Without stop words, unless fewer than ``least`` words would stay."""
-    left = F.filter(words, lambda w: ~F.lower(F.btrim(w["word"], F.lit(T.EDGE_DASH))).isin(*stop)) if stop else words
+    left = F.filter(words, lambda w: ~F.lower(F.btrim(T.strip(w["word"]), F.lit(T.EDGE_DASH))).isin(*stop)) if stop else words
     return F.when(F.size(left) >= least, left).otherwise(words)
 
 
@@ -56,8 +56,9 @@ def choose(words: Column, mode: str = "hybrid", budget: int | None = None, stop:
 
 
 def join_words(words: Column) -> Column:
-    """The chosen words, trimmed of white space, with one blank between."""
-    return F.array_join(F.transform(words, lambda w: F.regexp_replace(w["word"], f"^[{T.SPACE}]+|[{T.SPACE}]+$", "")), " ")
+    """The chosen words without white space and punctuation at their edges, one blank between; words of which nothing is left are dropped."""
+    bare = F.transform(words, lambda w: F.btrim(T.strip(w["word"]), F.lit(T.EDGE_DASH)))
+    return F.array_join(F.filter(bare, lambda w: w != ""), " ")
 
 
 def with_offsets(pieces: Column) -> Column:
@@ -71,26 +72,31 @@ def with_offsets(pieces: Column) -> Column:
     )
 
 
+def word_starts(pieces: Column) -> Column:
+    """Which pieces begin a word: the first, and those that begin with white space or another mark, but for a joiner between two letters or digits.
+
+    Letters behind a mark go on with its word: "foo.bar" is "foo" and ".bar", "(abc)" is "(abc" and ")".
+    """
+    solid = r"^[\p{L}\p{N}]"
+    at = lambda i: F.coalesce(F.get(pieces, i), F.lit(""))
+    last = lambda p: F.substring(p, F.greatest(F.length(p), F.lit(1)), F.lit(1))
+
+    def starts(p: Column, i: Column) -> Column:
+        after = F.when(F.length(p) > 1, F.substring(p, F.lit(2), F.lit(1))).otherwise(F.substring(at(i + 1), F.lit(1), F.lit(1)))
+        joins = p.rlike(f"^[{JOINERS}]") & last(at(i - 1)).rlike(solid) & after.rlike(solid)
+        return (i == 0) | ~(p.rlike(solid) | joins)
+
+    return F.transform(pieces, starts)
+
+
 def word_numbers(pieces: Column) -> Column:
-    """Word number of each piece, from 0: a word begins at white space, and at any change between letters or digits and other marks,
-    but for a joiner between two letters or digits. Computed over array of strings that adjoin."""
-    solid, joiner = r"[\p{L}\p{N}]", f"[{JOINERS}]"
-    zero = F.expr("named_struct('n', -1, 'prev', '', 'out', cast(array() as array<int>))")
-
-    def step(acc: Column, x: Column) -> Column:
-        piece, after = x["p"], F.coalesce(x["q"], F.lit(""))
-        tight = (acc["prev"] != "") & ~piece.rlike(f"^[{T.SPACE}]")
-        # a joiner counts only between two letters or digits; it may be a piece or the head of one
-        joins = acc["prev"].rlike(f"{solid}$") & (piece.rlike(f"^{joiner}{solid}") | (piece.rlike(f"^{joiner}$") & after.rlike(f"^{solid}")))
-        joined = piece.rlike(f"^{solid}") & acc["prev"].rlike(f"({solid}|{solid}{joiner}|^{joiner})$")
-        marks = piece.rlike(f"^[^\\p{{L}}\\p{{N}}{JOINERS}]") & acc["prev"].rlike(r"[^\p{L}\p{N}]$")
-        n = acc["n"] + F.when(tight & (joins | joined | marks), 0).otherwise(1)
-        loose = piece.rlike(f"^{joiner}$") & ~joins
-        prev = F.when(piece.rlike(f"^[{T.SPACE}]*$"), F.lit("")).when(loose, F.lit("|")).otherwise(piece)
-        return F.struct(n.alias("n"), prev.alias("prev"), F.concat(acc["out"], F.array(n)).alias("out"))
-
-    following = F.slice(F.concat(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), F.array(F.lit(""))), 1, F.size(pieces))
-    return F.aggregate(F.arrays_zip(pieces.alias("p"), following.alias("q")), zero, step, lambda acc: acc["out"])
+    """Word number of each piece, from 0. Computed over array of strings that adjoin (see ``word_starts``)."""
+
+    def number(starts: Column) -> Column:
+        first = F.filter(F.transform(starts, lambda s, i: F.when(s, i).otherwise(-1)), lambda i: i >= 0)
+        return T.let(first, lambda f: F.flatten(F.transform(f, lambda x, k: F.array_repeat(k, (F.coalesce(F.get(f, k + 1), F.size(starts)) - x).cast("int")))))
+
+    return T.let(word_starts(pieces), number)
 
 
 def merge_intervals(spans: Column) -> Column:

@@ -28,9 +28,9 @@ def label_tokens(text: Column, tokens: Column, spans: Column, limit: int = MAX_T
 def title_spans(text: Column, title: Column) -> Column:
     """Spans of a hand title's words in the text, strictly in order and in the same case; null if a word isn't found.
 
-    A word is bounded by anything but letters and digits and the low line, which belongs to a word here.
+    A word is bounded by anything but letters and digits and the low line, which belongs to a word here; ideographs, kana and hangul bound too.
     """
-    inner = r"[\p{L}\p{N}_]"
+    inner = rf"[\p{{L}}\p{{N}}_&&[^{T.UNSPACED}]]"
     zero = F.expr("named_struct('at', 0, 'ok', true, 'out', cast(array() as array<struct<start:int,end:int>>))")
 
     def step(acc: Column, w: Column) -> Column:

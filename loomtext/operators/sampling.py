@@ -5,6 +5,8 @@ Random order is the order of md5(seed:id): the same on every run, engine and par
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,12 +27,13 @@ def last_wins(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max(row).alias("_m")).select("_m._row.*")
 
 
-def ranked(df: DataFrame, name: str, *order: str, buckets: int = 64) -> DataFrame:
+def ranked(df: DataFrame, name: str, *order: str) -> DataFrame:
     """Row number from 0 over the whole table without bringing it into one task.
 
-    Rows are range-partitioned in order and written once, so that both readings see the same partitions; the offsets are the
+    There are as many ranges as the table has partitions, or as a shuffle has if these are more. Rows are range-partitioned in order and written once, so that both readings see the same partitions; the offsets are the
     running sums of one count per partition.
     """
+    buckets = max(df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parts = df.repartitionByRange(buckets, *order).sortWithinPartitions(*order)
     own = cut_lineage(parts.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % (1 << 33)), "ranked")
     counts = own.groupBy("_p").agg(F.count("*").alias("_n"))
@@ -65,8 +68,9 @@ def first_rows(df: DataFrame, group: str, cap: int, *order: str) -> DataFrame:
 
 def quotas(df: DataFrame, bucket: str, want: dict[str, int], id_col: str, seed: int = 0) -> DataFrame:
     """So many rows of each bucket, in hash order."""
-    cap = F.create_map(*[F.lit(x) for kv in want.items() for x in kv])[F.col(bucket)]
-    return capped(df.where(F.col(bucket).isin(*want)), bucket, F.coalesce(cap, F.lit(0)), id_col, seed)
+    # a limit that is a number is pushed below the shuffle, so that each task passes on that many rows of a bucket only
+    parts = [capped(df.where(F.col(bucket) == k), bucket, n, id_col, seed) for k, n in want.items() if n > 0]
+    return reduce(DataFrame.unionByName, parts) if parts else df.where("false")
 
 
 def water_fill(kept: dict[str, int], priority: list[str], quota: int) -> dict[str, int]:

@@ -85,6 +85,12 @@ def sweep(scored: DataFrame, score: str, gold: str) -> DataFrame:
     return g.select("step", "tp", "fp", "fn", F.round(f1(F.col("tp"), F.col("fp"), F.col("fn")), 6).alias("f1"))
 
 
+def best_step(swept: DataFrame) -> DataFrame:
+    """The row of the greatest F1 of a sweep; of equal ones the smallest step."""
+    row = F.struct((-F.col("f1")).alias("o"), *(F.col(c) for c in swept.columns))
+    return swept.agg(F.min(row).alias("b")).where("b IS NOT NULL").select(*(f"b.{c}" for c in swept.columns))
+
+
 def inverse_frequency(docs: DataFrame, id_col: str, tokens: Column, least: int = 1) -> DataFrame:
     """(token, df, idf) with idf = ln(total / (1 + df)), over all documents."""
     total = docs.count()
@@ -94,8 +100,12 @@ def inverse_frequency(docs: DataFrame, id_col: str, tokens: Column, least: int =
 
 def rarest(docs: DataFrame, id_col: str, tokens: Column, n: int) -> DataFrame:
     """(id, pos, token): the ``n`` rarest tokens of each document; of equal ones those that come first."""
-    idf = inverse_frequency(docs, id_col, tokens)
-    d = docs.select(id_col, F.posexplode(tokens).alias("pos", "token")).join(idf, "token")
+    # one row for each token of a document, with its first places: as many as can be among the result
+    places = docs.select(id_col, F.posexplode(tokens).alias("pos", "token")).groupBy(id_col, "token").agg(F.slice(F.sort_array(F.collect_list("pos")), 1, n).alias("at"))
+    total = docs.count()
+    df = places.groupBy("token").agg(F.count("*").alias("df"))
+    idf = df.select("token", F.round(F.log(F.lit(float(total)) / (1 + F.col("df"))), 6).alias("idf"))
+    d = places.join(idf, "token").select(id_col, "token", "idf", F.explode("at").alias("pos"))
     w = Window.partitionBy(id_col).orderBy(F.desc("idf"), "pos")
     return d.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).select(id_col, F.col("pos").cast("long").alias("pos"), "token")
 

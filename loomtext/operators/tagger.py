@@ -96,7 +96,7 @@ class Tagger:
                     begin, end = spans[group[0]][0], spans[group[-1]][1]
                     word = texts[i][begin:end]
                     if any(c.isalnum() for c in word):
-                        out[i].append({"word": word, "start": begin, "end": end, "score": float(1 / (1 + np.exp(-z[group].mean()))), "tokens": len(group)})
+                        out[i].append({"word": word.strip().strip(T.EDGE_DASH), "start": begin, "end": end, "score": float(1 / (1 + np.exp(-z[group].mean()))), "tokens": len(group)})
         return out
 
 
@@ -112,23 +112,17 @@ def length_batches(lengths: list[int], budget: int = 16_384, multiple: int = 32)
 
 
 def group_tokens(text: str, spans: list[tuple[int, int]]) -> list[list[int]]:
-    """Tokens by words. A word ends where white space does, and where letters or digits meet other marks, unless the mark is a joiner between two of them."""
-    solid = lambda i: 0 <= i < len(text) and text[i].isalnum()
-    joint = lambda i: 0 < i < len(text) - 1 and text[i] in decode.JOINERS and solid(i - 1) and solid(i + 1)
+    """Tokens by words, by the rule of ``decode.word_starts``: a token of the same character's bytes goes by that character."""
     groups: list[list[int]] = []
+    end = -1
     for n, (a, e) in enumerate(spans):
-        begin = a
-        while begin < e and text[begin].isspace():
-            begin += 1
-        apart = begin > a or not groups or (begin < e and not ((solid(begin) or joint(begin)) and (solid(begin - 1) or joint(begin - 1))) and not (not solid(begin) and not solid(begin - 1) and not text[begin - 1].isspace() and not joint(begin)))
-        if groups and begin == e and a < e:
-            apart = True  # white space alone: a group of its own, which has no letter
-        if groups and a < spans[n - 1][1]:
-            apart = False  # bytes of the same character
-        if apart:
-            groups.append([n])
-        else:
+        head = text[a] if a < e else ""
+        joins = head in decode.JOINERS and a == end and 0 < a < len(text) - 1 and text[a - 1].isalnum() and text[a + 1].isalnum() if head else False
+        if groups and (head.isalnum() or joins):
             groups[-1].append(n)
+        else:
+            groups.append([n])
+        end = e
     return groups
 
 
@@ -149,6 +143,14 @@ def score_words(messages: DataFrame, source, text: str = "text") -> DataFrame:
     return spread(d.select(*names, "_t")).mapInArrow(run, f"{schema}, words {WORDS}")
 
 
+def both_titles(messages: DataFrame, source, budget: int = 6, text: str = "text") -> DataFrame:
+    """Adds ``title`` and ``title_budget``, the hybrid decoding and that of so many words, from the same scores."""
+    model = load(source)
+    rules = {k: v for k, v in (model.header.get("decoding") or {}).items() if k in decode.DECODING}
+    join = lambda **how: decode.join_words(decode.choose(F.col("words"), **how, **rules))
+    return score_words(messages, model, text).withColumn("title", join()).withColumn("title_budget", join(mode="budget", budget=budget)).drop("words")
+
+
 def titles(messages: DataFrame, source, mode: str = "hybrid", budget: int | None = None, stop: list[str] | None = None, text: str = "text") -> DataFrame:
     """Adds ``title``; an empty text, or one of marks only, has an empty title. The threshold is the model's."""
     model = load(source)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.session import cut_lineage
 from ..operators import corpus as C
 from ..operators import sampling as S
 from ..sources import tables
@@ -13,6 +14,7 @@ from . import sqltext as Q
 
 LANGS = ("English", "French", "German", "Spanish")
 IN_LANGS = ", ".join(map(Q.quote, LANGS))
+ALL_LANGS = ("English", "French", "Spanish", "German", "Portuguese", "Italian", "Dutch", "Swedish", "Polish", "Russian")
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -50,6 +52,18 @@ def _funnel_sql(langs: str, default: str) -> str:
     return f"SELECT count(*) AS n_read, count(*) FILTER (WHERE {ok}) AS n_language, count(*) FILTER (WHERE {user}) AS n_user, count(*) FILTER (WHERE {long}) AS n_length FROM source_conversations"
 
 
+def funnel_whole(spark, sf):
+    """All steps of the build, with what exact copies, near copies and the list of excluded messages take away."""
+    c = read(spark, sf, "source_conversations")
+    first = C.funnel(c, list(LANGS), null_toxic_passes=False)
+    d = S.first_wins(C.usable_length(C.first_user(C.by_language(c, list(LANGS), False))).select("conversation_hash", "text"), T.normalize("text"), "conversation_hash")
+    near = cut_lineage(C.near_dedupe(d, "conversation_hash").select("conversation_hash", "text"), "near")
+    listed = read(spark, sf, "gold_consensus").select("id", "text")
+    left = C.exclude(near, listed.select("id"), listed.select("text").where("text IS NOT NULL"), "conversation_hash", "text")
+    count = lambda x, name: x.agg(F.count("*").alias(name))
+    return first.crossJoin(count(d, "n_exact")).crossJoin(count(near, "n_near")).crossJoin(count(left, "n_excluded"))  # one row each
+
+
 def rows_per_language(spark, sf):
     return read(spark, sf, "source_conversations").groupBy("language").agg(F.count("*").alias("n"))
 
@@ -135,8 +149,7 @@ def site_cap(spark, sf):
     return S.capped(m, "site", F.col("cap"), "id").select("id", "site")
 
 
-# the SQL still has a tenth of each site's number
-SITE_SQL = f"""SELECT id, site FROM (SELECT DISTINCT m.id, m.site, CAST(trunc(s.max_questions / 10) AS INTEGER) AS cap FROM messages m JOIN sites s ON m.site = s.site)
+SITE_SQL = f"""SELECT id, site FROM (SELECT DISTINCT m.id, m.site, s.max_questions AS cap FROM messages m JOIN sites s ON m.site = s.site)
 QUALIFY row_number() OVER (PARTITION BY site ORDER BY {Q.hash_order('id')}, id) <= cap"""
 
 
@@ -180,13 +193,13 @@ SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {Q.hash_order('doc_id', 1)}
 def language_gate(spark, sf):
     """How many messages per label are kept or rejected by the rates of function words; the words are those most frequent per label."""
     m = read(spark, sf, "messages").select("id", "text", F.initcap(T.strip("language")).alias("lang")).where("text IS NOT NULL").distinct()
-    m = m.where(F.col("lang").isin(*LANGS))
+    m = m.where(F.col("lang").isin(*ALL_LANGS))
     gate = C.language_gate(m, C.function_words(m, 30), "id")
     return gate.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.col("rejected").cast("long")).alias("n_rejected"))
 
 
 _LW = Q.runs("text", r"\p{L}+")
-GATE_SQL = f"""WITH m AS (SELECT DISTINCT id, text, lang FROM (SELECT id, text, upper(substr({Q.strip('language')}, 1, 1)) || lower(substr({Q.strip('language')}, 2)) AS lang FROM messages WHERE text IS NOT NULL) WHERE lang IN ({IN_LANGS})),
+GATE_SQL = f"""WITH m AS (SELECT DISTINCT id, text, lang FROM (SELECT id, text, upper(substr({Q.strip('language')}, 1, 1)) || lower(substr({Q.strip('language')}, 2)) AS lang FROM messages WHERE text IS NOT NULL) WHERE lang IN ({', '.join(map(Q.quote, ALL_LANGS))})),
 w AS (SELECT id, lang, unnest({_LW}) AS word FROM m),
 f AS (SELECT lang AS of, word FROM (SELECT lang, word, count(DISTINCT id) AS n FROM w GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= 30),
 s AS (SELECT m.id, m.lang, f.of, sum(CASE WHEN f.word IS NOT NULL THEN 1 ELSE 0 END) AS hits FROM m JOIN w ON w.id = m.id AND w.lang = m.lang LEFT JOIN f ON f.word = w.word GROUP BY ALL),
@@ -265,12 +278,15 @@ def row_numbers(spark, sf):
 
 
 def length_percentiles(spark, sf):
-    """Upper median and 95th percentile of lengths by index, without interpolation."""
-    w = Window.partitionBy("source").orderBy("n", "doc_id")
-    d = read(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "source", F.length("text").alias("n"))
-    r = d.withColumn("r", F.row_number().over(w) - 1).withColumn("c", F.count("*").over(Window.partitionBy("source")))
-    pick = lambda at: F.max(F.when(F.col("r") == at, F.col("n"))).cast("long")
-    return r.groupBy("source").agg(pick(F.floor(F.col("c") / 2)).alias("median"), pick(F.least(F.col("c") - 1, F.floor(F.col("c") * 0.95))).alias("p95"))
+    """Upper median and 95th percentile of lengths by index, without interpolation.
+
+    The rows are counted by length first, so that the running sums go over the lengths of a source and not over its rows.
+    """
+    d = read(spark, sf, "documents").where("text IS NOT NULL").groupBy("source", F.length("text").alias("n")).agg(F.count("*").alias("c"))
+    w = Window.partitionBy("source")
+    d = d.withColumn("upto", F.sum("c").over(w.orderBy("n"))).withColumn("total", F.sum("c").over(w))
+    pick = lambda at: F.min(F.when(F.col("upto") > at, F.col("n"))).cast("long")
+    return d.groupBy("source").agg(pick(F.floor(F.col("total") / 2)).alias("median"), pick(F.least(F.col("total") - 1, F.floor(F.col("total") * 0.95))).alias("p95"))
 
 
 PERCENT_SQL = """WITH r AS (SELECT source, length(text) AS n, row_number() OVER (PARTITION BY source ORDER BY length(text), doc_id) - 1 AS r, count(*) OVER (PARTITION BY source) AS c FROM documents WHERE text IS NOT NULL)
@@ -281,6 +297,7 @@ QUERIES = {
     "floor_titles": (flagship, FLAGSHIP_SQL),
     "corpus_funnel_null_keep": (funnel_null_keep, _funnel_sql("'English'", "false")),
     "corpus_funnel_null_drop": (funnel_null_drop, _funnel_sql(IN_LANGS, "true")),
+    "corpus_funnel_whole": (funnel_whole, None),
     "rows_per_language": (rows_per_language, "SELECT language, count(*) AS n FROM source_conversations GROUP BY language"),
     "multi_language_scan": (multi_language_scan, MULTI_SQL),
     "short_messages": (short_messages, SHORT_SQL),

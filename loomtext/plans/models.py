@@ -1,4 +1,4 @@
-"""Queries of the tokenizer and the tagger, over a model with seeded weights: no trained one exists. They have no SQL."""
+"""Queries of the tokenizer and the tagger, over a model with seeded weights: no trained one exists."""
 
 from __future__ import annotations
 
@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import bpe
 from ..functions import text as T
-from ..operators import tagger
+from ..operators import labels as L
+from ..operators import sampling as S
+from ..operators import tagger, training
+from ..operators import titles as O
 from ..sources import modelfile
+from . import sqltext as Q
 from .corpus import read
 
 
@@ -50,4 +54,34 @@ def model_titles(spark, sf):
     return tagger.titles(m, model).select("id", "title")
 
 
-QUERIES = {"bpe_pieces": (bpe_pieces, None), "model_titles": (model_titles, None)}
+def reference_titles(spark, sf):
+    """Both decodings of every message, from one run of the seeded model."""
+    m = read(spark, sf, "messages").where("id IS NOT NULL").groupBy("id").agg(F.min("text").alias("text"))
+    return tagger.both_titles(m, seeded_model(learn(read(spark, sf, "messages")))).select("id", "title", "title_budget")
+
+
+def _training(spark, sf):
+    t = S.first_wins(read(spark, sf, "teacher_titles").where("error IS NULL AND run_id IS NOT NULL").select("run_id", "id", "raw"), "run_id", "id")
+    t = O.cleaned(t).select("id", F.col("clean").alias("title"), "refused")
+    m = read(spark, sf, "messages").where("id IS NOT NULL").groupBy("id").agg(F.min("text").alias("text"))
+    return training.training_rows(t, m, learn(read(spark, sf, "messages")))
+
+
+def training_rows(spark, sf):
+    """Tokens with labels and word numbers of all titles that can be aligned."""
+    return _training(spark, sf).where("ids IS NOT NULL").select("id", "title", F.size("ids").alias("n_tokens"), F.aggregate("labels", F.lit(0), lambda a, x: a + x).alias("n_kept"), (F.array_max("words") + 1).alias("n_words"), "truncated")
+
+
+def labeling_funnel(spark, sf):
+    return training.labeling_funnel(_training(spark, sf))
+
+
+def alignment_check(spark, sf):
+    """How many hand titles of the gold set are aligned to the spans that the hand laid down."""
+    g = read(spark, sf, "gold_consensus").where("text IS NOT NULL AND title IS NOT NULL").select("k", "text", "title", L.title_spans(F.col("text"), F.col("title")).alias("spans"))
+    return training.alignment_check(g).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+PIECE_SQL = f"SELECT piece, count(*) AS n FROM (SELECT unnest({Q.pre_split('substr(text, 1, 1200)')}) AS piece FROM messages WHERE text IS NOT NULL) GROUP BY piece"
+
+QUERIES = {"bpe_pieces": (bpe_pieces, PIECE_SQL), "model_titles": (model_titles, None), "reference_titles": (reference_titles, None), "training_rows": (training_rows, None), "labeling_funnel": (labeling_funnel, None), "alignment_check": (alignment_check, None)}

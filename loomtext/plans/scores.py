@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import decode as D
+from ..operators import labels as L
 from ..operators import scores as S
 from . import sqltext as Q
 from .corpus import read
@@ -88,6 +89,25 @@ SWEEP_SQL = f"""WITH {VOTES}, l AS (SELECT k, unnest(labels) AS g, unnest(range(
 SELECT CAST(step AS INTEGER) AS step, tp, fp, fn, round(CASE WHEN tp > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0.0 END, 6) AS f1 FROM s"""
 
 
+def best_threshold(spark, sf):
+    """The first threshold of the greatest F1."""
+    return S.best_step(threshold_sweep(spark, sf))
+
+
+def baselines(spark, sf):
+    """Micro scores of three predictors without a model: nothing, the first five words, and those of the first twenty that aren't stop words."""
+    g = L.usable_examples(_gold(spark, sf).withColumn("ids", F.col("words")).where("labels IS NOT NULL"))
+    of = lambda keep: F.transform("words", lambda w, i: keep(w, i).cast("int"))
+    name = F.explode(
+        F.array(
+            F.struct(F.lit("none").alias("name"), of(lambda w, i: F.lit(False)).alias("pred")),
+            F.struct(F.lit("first").alias("name"), of(lambda w, i: i < 5).alias("pred")),
+            F.struct(F.lit("first_kept").alias("name"), of(lambda w, i: (i < 20) & ~F.lower(F.btrim(w, F.lit(T.EDGE_DASH))).isin(*STOP)).alias("pred")),
+        )
+    ).alias("x")
+    return S.micro(g.select(F.col("labels").alias("gold"), name).select("x.name", "x.pred", "gold"), "name")
+
+
 def positive_density(spark, sf):
     """Share of kept words per bucket, and the weight that evens the classes out."""
     d = _gold(spark, sf).where("labels IS NOT NULL").select("bucket", F.explode("labels").alias("y")).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("y").alias("n_positive"))
@@ -127,6 +147,14 @@ def rarest_tokens(spark, sf):
 RARE_SQL = f"WITH {_TOK}, e AS (SELECT doc_id, unnest(w) AS token, unnest(range(len(w))) AS pos FROM tk) SELECT doc_id, pos, token FROM e JOIN idf USING (token) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY idf DESC, pos) <= 5"
 
 
+STOP = ["de", "la", "the", "a", "of", "en", "in", "der", "die"]
+BASE_SQL = f"""WITH u AS (SELECT k, words, labels FROM gold_consensus WHERE labels IS NOT NULL AND len(words) > 0 AND list_contains(labels, 1)),
+e AS (SELECT k, unnest(words) AS w, unnest(range(len(words))) AS i FROM u), l AS (SELECT k, unnest(labels) AS g, unnest(range(len(labels))) AS i FROM u),
+n AS (SELECT unnest(['none', 'first', 'first_kept']) AS name),
+x AS (SELECT name, CAST(CASE name WHEN 'none' THEN false WHEN 'first' THEN i < 5 ELSE i < 20 AND NOT lower(trim(w, {Q.quote(T.EDGE_DASH)})) IN ({', '.join(map(Q.quote, STOP))}) END AS INTEGER) AS p, g FROM e JOIN l USING (k, i), n),
+s AS (SELECT name, {_COUNT} FROM x GROUP BY name) SELECT name, tp, fp, fn, {_PRF} FROM s"""
+
+
 def _scored(spark, sf):
     """(k, words) with the words of each item as scored words: the share of votes, in order of their places."""
     g = _gold(spark, sf)
@@ -150,24 +178,21 @@ def decode_threshold(spark, sf):
     return _scored(spark, sf).select("k", D.join_words(D.choose(F.col("words"), "threshold", threshold=0.4)).alias("title"))
 
 
-STOP = ["de", "la", "the", "a", "of", "en", "in", "der", "die"]
-
-
 def decode_stop_words(spark, sf):
     return _scored(spark, sf).select("k", D.join_words(D.choose(F.col("words"), stop=STOP)).alias("title"))
 
 
-_STRIP = Q.strip("word")
+_STRIP = f"trim({Q.strip('word')}, {Q.quote(T.EDGE_DASH)})"
 _ALL = "(SELECT DISTINCT k FROM c) z LEFT JOIN q USING (k)"
 
 
 def _decoded(q: str) -> str:
-    return f"WITH {SCORED}, q AS ({q}) SELECT z.k, coalesce(array_to_string(list({_STRIP} ORDER BY word_pos) FILTER (WHERE word IS NOT NULL), ' '), '') AS title FROM {_ALL} GROUP BY z.k"
+    return f"WITH {SCORED}, q AS ({q}) SELECT z.k, coalesce(array_to_string(list({_STRIP} ORDER BY word_pos) FILTER (WHERE {_STRIP} <> ''), ' '), '') AS title FROM {_ALL} GROUP BY z.k"
 
 
 _HYBRID = "SELECT k, word, word_pos FROM (SELECT *, count(*) FILTER (WHERE r <= 6 AND score >= 0.5) OVER (PARTITION BY k) AS sure FROM {src}) WHERE n <= 4 OR CASE WHEN sure >= 3 THEN r <= 6 AND score >= 0.5 ELSE r <= 3 END"
 _STOPPED = f"""(SELECT k, word, word_pos, score, count(*) OVER (PARTITION BY k) AS n, row_number() OVER (PARTITION BY k ORDER BY score DESC, word_pos) AS r FROM
-(SELECT *, lower(trim(word, {Q.quote(T.EDGE_DASH)})) IN ({', '.join(map(Q.quote, STOP))}) AS is_stop, count(*) FILTER (WHERE lower(trim(word, {Q.quote(T.EDGE_DASH)})) NOT IN ({', '.join(map(Q.quote, STOP))})) OVER (PARTITION BY k) AS left_ FROM sp) WHERE left_ < 3 OR NOT is_stop)"""
+(SELECT *, lower({_STRIP}) IN ({', '.join(map(Q.quote, STOP))}) AS is_stop, count(*) FILTER (WHERE lower({_STRIP}) NOT IN ({', '.join(map(Q.quote, STOP))})) OVER (PARTITION BY k) AS left_ FROM sp) WHERE left_ < 3 OR NOT is_stop)"""
 
 
 def interval_merge(spark, sf):
@@ -182,10 +207,25 @@ SELECT k, min(p) AS start, max(p) + 1 AS "end" FROM o GROUP BY k, island"""
 
 
 def word_numbering(spark, sf):
-    """Pieces and words per message: the pieces before byte-pair merging, numbered by the words that they make up."""
-    m = read(spark, sf, "messages").where("text IS NOT NULL").select("id", "text").distinct().withColumn("p", T.pre_split("text"))
-    m = m.withColumn("o", D.with_offsets(F.col("p"))).withColumn("w", D.word_numbers(F.col("p")))
-    return m.groupBy("id").agg(F.max(F.size("p")).alias("n_pieces"), F.max(F.array_max(F.col("o.end"))).alias("covered"), F.max(F.length("text")).alias("n_chars"), F.max(F.array_max("w") + 1).alias("n_words"))
+    """Pieces and words per message: the pieces before byte-pair merging, and the words that they make up."""
+    m = read(spark, sf, "messages").where("id IS NOT NULL AND text IS NOT NULL").groupBy("id").agg(F.max("text").alias("text"))
+    m = m.select("id", F.length("text").alias("n_chars"), F.explode(F.array(T.pre_split("text"))).alias("p"))
+    covered = F.aggregate("p", F.lit(0), lambda n, p: n + F.length(p))
+    words = F.size(F.filter(D.word_starts(F.col("p")), lambda s: s))
+    return m.select("id", F.size("p").alias("n_pieces"), covered.alias("covered"), "n_chars", words.alias("n_words"))
+
+
+_ALNUM = "regexp_matches({}, '^[\\p{{L}}\\p{{N}}]')"
+
+
+def _starts(i: str, p: str = "p") -> str:
+    """Does the piece at place ``i`` (from 1) of the list ``p`` begin a word?"""
+    joins = f"substr({p}[{i}], 1, 1) IN ({', '.join(map(Q.quote, D.JOINERS))}) AND {_ALNUM.format(f'right({p}[{i} - 1], 1)')} AND {_ALNUM.format(f'CASE WHEN length({p}[{i}]) > 1 THEN substr({p}[{i}], 2, 1) ELSE substr({p}[{i} + 1], 1, 1) END')}"
+    return f"({i} = 1 OR NOT ({_ALNUM.format(f'{p}[{i}]')} OR coalesce({joins}, false)))"
+
+
+NUMBER_SQL = f"""WITH m AS (SELECT id, max(text) AS text FROM messages WHERE id IS NOT NULL AND text IS NOT NULL GROUP BY id), c AS (SELECT id, text, {Q.pre_split('text')} AS p FROM m)
+SELECT id, CAST(len(p) AS INTEGER) AS n_pieces, CAST(length(array_to_string(p, '')) AS INTEGER) AS covered, CAST(length(text) AS INTEGER) AS n_chars, CAST(len(list_filter(range(1, len(p) + 1), lambda i: {_starts('i')})) AS INTEGER) AS n_words FROM c"""
 
 
 def title_statistics(spark, sf):
@@ -206,9 +246,11 @@ QUERIES = {
     "pairwise_agreement": (pairwise_agreement, PAIR_SQL),
     "leave_one_out": (leave_one_out, LEAVE_SQL),
     "threshold_sweep": (threshold_sweep, SWEEP_SQL),
+    "best_threshold": (best_threshold, f"WITH b AS ({SWEEP_SQL}) SELECT step, tp, fp, fn, f1 FROM b ORDER BY f1 DESC, step LIMIT 1"),
+    "baselines": (baselines, BASE_SQL),
     "positive_density": (positive_density, DENSITY_SQL),
     "word_prf_micro": (word_prf_micro, MICRO_SQL),
-    "token_idf": (token_idf, f"WITH {_TOK} SELECT token, df, idf FROM idf WHERE df >= 5"),
+    "token_idf": (token_idf, f"WITH {_TOK} SELECT token, df, idf FROM idf"),
     "rarest_tokens": (rarest_tokens, RARE_SQL),
     "decode_budget": (decode_budget, _decoded("SELECT k, word, word_pos FROM sp WHERE r <= 4")),
     "decode_hybrid": (decode_hybrid, _decoded(_HYBRID.format(src="sp"))),
@@ -216,5 +258,5 @@ QUERIES = {
     "decode_stop_words": (decode_stop_words, _decoded(_HYBRID.format(src=_STOPPED))),
     "title_statistics": (title_statistics, STATS_SQL),
     "interval_merge": (interval_merge, MERGE_SQL),
-    "word_numbering": (word_numbering, None),
+    "word_numbering": (word_numbering, NUMBER_SQL),
 }

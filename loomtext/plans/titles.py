@@ -227,14 +227,23 @@ def stem_and_edits(spark, sf):
     return O.edit_pairs(d.select(F.explode(T.letter_runs("text")).alias("w")).distinct()).select("a", "b", T.stem(F.col("a")).alias("stem_a"), T.stem(F.col("b")).alias("stem_b"))
 
 
-# the SQL still has the frequent words of a to z only: all pairs of all words are too many for a cross join
-EDIT_SQL = f"""WITH w AS (SELECT w FROM (SELECT unnest({Q.runs('text', chr(92) + 'p{L}+')}) AS w FROM documents WHERE text IS NOT NULL) GROUP BY w HAVING count(*) >= 20 AND length(w) >= 5 AND regexp_matches(w, '^[a-z]+$'))
-SELECT a.w AS a, b.w AS b, {_stem('a.w')} AS stem_a, {_stem('b.w')} AS stem_b FROM w a, w b WHERE a.w < b.w AND abs(length(a.w) - length(b.w)) <= 1 AND {_edit('a.w', 'b.w')}"""
+def _less(w: str, i: str) -> str:
+    return f"(substr({w}, 1, {i} - 1) || substr({w}, {i} + 1))"
 
-def usable_gold(spark, sf):
-    """Rows of the gold set that are scored, per bucket, where there are ten or more."""
-    g = L.usable_gold(_flagged(spark, sf))
-    return g.groupBy("bucket").agg(F.count("*").alias("n")).where("n >= 10")
+
+# two words one edit apart are equal, or equal without one of their letters, as in the query; levenshtein() counts bytes here
+_ONE = f"""CASE length(a) - length(b) WHEN 0 THEN len(list_filter(range(1, length(a) + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1))) = 1 OR {_swap('a', 'b')}
+WHEN 1 THEN len(list_filter(range(1, length(a) + 1), lambda i: {_less('a', 'i')} = b)) > 0 WHEN -1 THEN len(list_filter(range(1, length(b) + 1), lambda i: {_less('b', 'i')} = a)) > 0 ELSE false END"""
+EDIT_SQL = f"""WITH w AS (SELECT DISTINCT w FROM (SELECT unnest({Q.runs('text', chr(92) + 'p{L}+')}) AS w FROM documents WHERE text IS NOT NULL) WHERE length(w) >= 5),
+k AS (SELECT DISTINCT w, unnest(list_concat([w], list_transform(range(1, length(w) + 1), lambda i: {_less('w', 'i')}))) AS key FROM w),
+p AS (SELECT DISTINCT x.w AS a, y.w AS b FROM k x JOIN k y ON x.key = y.key AND x.w < y.w)
+SELECT a, b, {_stem('a')} AS stem_a, {_stem('b')} AS stem_b FROM p WHERE {_ONE}"""
+
+
+def usable_gold(spark, sf, least: int = 100):
+    """Rows of the gold set that are scored, per bucket; a set of fewer than ``least`` rows in all isn't used."""
+    g = L.usable_gold(_flagged(spark, sf)).groupBy("bucket").agg(F.count("*").alias("n"))
+    return g.join(g.agg(F.sum("n").alias("total")).where(F.col("total") >= least).select(F.lit(True).alias("enough"))).select("bucket", "n")
 
 
 def _flagged(spark, sf):
@@ -242,7 +251,7 @@ def _flagged(spark, sf):
     return g.withColumn("impossible", F.when(F.col("k") % 5 == 0, True)).withColumn("off_language", F.col("k") % 7 == 0)
 
 
-USABLE_SQL = f"SELECT bucket, count(*) AS n FROM gold_consensus WHERE k % 5 <> 0 AND k % 7 <> 0 AND {Q.strip("coalesce(title, '')")} <> '' GROUP BY bucket HAVING count(*) >= 10"
+USABLE_SQL = f"SELECT bucket, count(*) AS n FROM gold_consensus WHERE k % 5 <> 0 AND k % 7 <> 0 AND {Q.strip("coalesce(title, '')")} <> '' GROUP BY bucket QUALIFY sum(count(*)) OVER () >= 100"
 
 
 def model_names(spark, sf):
@@ -265,10 +274,38 @@ def title_spans(spark, sf):
     return d.select("k", F.size("s").alias("n_words"), F.element_at("s", 1)["start"].alias("first"), F.element_at("s", -1)["end"].alias("last"))
 
 
+def _inner(c: str) -> str:
+    """Is the character a part of a word that bounds none?"""
+    return f"(regexp_matches({c}, '[\\p{{L}}\\p{{N}}_]') AND NOT regexp_matches({c}, '[{T.UNSPACED}]'))"
+
+
+_PLACES = f"list_filter(range(cur, length(text) - length(w[i + 1]) + 1), lambda p: substr(text, p + 1, length(w[i + 1])) = w[i + 1] AND NOT (p > 0 AND {_inner('substr(text, p, 1)')}) AND NOT {_inner('substr(text, p + 1 + length(w[i + 1]), 1)')})"
+SPAN_SQL = f"""WITH RECURSIVE r AS (SELECT k, text, {Q.split('title')} AS w, 0::BIGINT AS i, 0::BIGINT AS cur, NULL::BIGINT AS lead_pos FROM gold_consensus WHERE title IS NOT NULL AND text IS NOT NULL
+UNION ALL SELECT k, text, w, i + 1, place + length(w[i + 1]), coalesce(lead_pos, place) FROM (SELECT *, ({_PLACES})[1] AS place FROM r WHERE i < len(w)) WHERE place IS NOT NULL)
+SELECT k, CAST(len(w) AS INTEGER) AS n_words, CAST(lead_pos AS INTEGER) AS "first", CAST(cur AS INTEGER) AS "last" FROM r WHERE i = len(w) AND len(w) > 0"""
+
+
+def gold_floor(spark, sf):
+    """Macro F1 of teacher titles per bucket against the gold titles that are scored; a message without a title scores 0."""
+    gold = S.first_wins(L.usable_gold(read(spark, sf, "gold_consensus")).where("id IS NOT NULL").select("k", "id", "bucket", F.col("title").alias("gold")), "id", "k")
+    said = S.last_wins(_runs(spark, sf).where(T.strip(F.coalesce("title", F.lit(""))) != ""), ["id"], "run_id").select("id", "title")
+    d = gold.join(said, "id", "left")
+    f1 = T.multiset_f1(T.bare_words(F.coalesce("title", F.lit("")), T.EDGE_DASH, True), T.bare_words("gold", T.EDGE_DASH, True))
+    return d.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.col("title").isNull().cast("long")).alias("n_missing"), F.round(F.avg(f1), 6).alias("f1"))
+
+
+FLOOR_SQL = f"""WITH {RUN}, g AS (SELECT k, id, bucket, title AS gold FROM gold_consensus WHERE id IS NOT NULL AND {Q.strip("coalesce(title, '')")} <> '' QUALIFY row_number() OVER (PARTITION BY id ORDER BY k) = 1),
+s AS (SELECT id, title FROM t WHERE {Q.strip("coalesce(title, '')")} <> '' QUALIFY row_number() OVER (PARTITION BY id ORDER BY run_id DESC) = 1),
+d AS (SELECT k, bucket, title, {Q.bare("coalesce(title, '')", T.EDGE_DASH, True)} AS a, {Q.bare('gold', T.EDGE_DASH, True)} AS b FROM g LEFT JOIN s USING (id)),
+c AS (SELECT k, sum(least(na, nb)) AS c FROM (SELECT k, w, count(*) AS na FROM (SELECT k, unnest(a) AS w FROM d) GROUP BY ALL) JOIN (SELECT k, w, count(*) AS nb FROM (SELECT k, unnest(b) AS w FROM d) GROUP BY ALL) USING (k, w) GROUP BY k)
+SELECT bucket, count(*) AS n, sum(CAST(title IS NULL AS BIGINT))::BIGINT AS n_missing, round(avg(CASE WHEN len(a) > 0 AND len(b) > 0 THEN 2.0 * coalesce(c, 0) / (len(a) + len(b)) ELSE 0.0 END), 6) AS f1 FROM d LEFT JOIN c USING (k) GROUP BY bucket"""
+
+
 QUERIES = {
+    "gold_floor": (gold_floor, FLOOR_SQL),
     "usable_gold": (usable_gold, USABLE_SQL),
     "model_names": (model_names, NAMES_SQL),
-    "title_spans": (title_spans, None),
+    "title_spans": (title_spans, SPAN_SQL),
     "title_clean": (title_clean, CLEAN_SQL),
     "title_validity": (title_validity, VALID_SQL),
     "title_compliance": (title_compliance, COMPLY_SQL),

@@ -46,15 +46,39 @@ def available(url: str, transport: Callable[[str], dict]) -> set[str]:
     return {m["id"] for m in transport(f"{url.rstrip('/')}/v1/models").get("data", [])}
 
 
-def ask(messages: DataFrame, endpoints: list[str], model: str, system: str, transport: Transport = post, limit: int = LIMIT, **options) -> DataFrame:
+def loaded_or_raise(url: str, model: str, transport: Callable[[str], dict], most_context: int = 16_384) -> list[str]:
+    """Refuses a server that hasn't loaded ``model``; the result are warnings: other models that it holds, and a context beyond ``most_context``."""
+    found = {m["id"]: m for m in transport(f"{url.rstrip('/')}/v1/models").get("data", [])}
+    if model not in found:
+        raise ValueError(f"{url} has not loaded {model}")
+    said = [f"other resident models: {', '.join(sorted(found.keys() - {model}))}"] if len(found) > 1 else []
+    context = found[model].get("loaded_context_length") or 0
+    return said + ([f"{model} at context {context}"] if context > most_context else [])
+
+
+def ask(messages: DataFrame, endpoints: list[str], model: str, system: str, transport: Transport = post, limit: int = LIMIT, slow: dict[str, float] | None = None, **options) -> DataFrame:
     """(id, instance, raw, seconds, error, title, refused): one answer a message, long messages first; endpoints are ``name@url``.
 
-    Each partition talks to one endpoint, so there are as many requests under way as endpoints.
+    Each partition is one endpoint's and each endpoint has one, so there are as many requests under way as endpoints. ``slow`` has how many times
+    as long an endpoint takes: it gets so many times fewer messages, and the shortest, so that it doesn't hold up the end.
     """
     named = [e.split("@", 1) for e in endpoints]
     n = len(named)
-    d = messages.select("id", F.substring("text", 1, limit).alias("text")).withColumn("_slot", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    d = d.repartition(n, "_slot").sortWithinPartitions(F.desc(F.length("text")))
+    factor = [max(1.0, (slow or {}).get(name, 1.0)) for name, _ in named]
+    order = sorted(range(n), key=lambda i: -factor[i])  # the slowest take the shortest
+    share = [1 / factor[i] for i in order]
+    slow_ones = [i for i in order if factor[i] > 1]
+    d = messages.select("id", F.substring("text", 1, limit).alias("text")).withColumn("_n", F.coalesce(F.length("text"), F.lit(0)))
+    fast = [i for i in range(n) if i not in slow_ones]
+    pick = lambda among: F.element_at(F.array(*map(F.lit, among)), (F.pmod(F.xxhash64("id"), F.lit(len(among))) + 1).cast("int"))
+    slot = pick(fast or order)
+    if slow_ones and fast:
+        upto = [sum(share[: k + 1]) / sum(share) for k in range(len(slow_ones))]
+        bounds = d.approxQuantile("_n", upto, 0.001)  # as many numbers as slow endpoints
+        for i, most in reversed(list(zip(slow_ones, bounds or [-1.0] * len(upto)))):
+            slot = F.when(F.col("_n") <= most, F.lit(i)).otherwise(slot)
+    # by the number itself: a hash of it would leave some partitions empty
+    d = d.withColumn("_slot", slot).repartitionById(n, F.col("_slot")).sortWithinPartitions(F.desc("_n")).drop("_n")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
