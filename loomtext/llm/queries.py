@@ -151,5 +151,18 @@ SELECT doc_id, min(s) AS span_start, max(s) + 200 AS span_end FROM i GROUP BY do
 }
 
 
+#: Share of each document that its spans cover.
+SQL["p10_share"] = f"""WITH s AS (SELECT doc_id, count(*) AS n_spans, sum(span_end - span_start)::BIGINT AS shared_chars FROM ({SQL["p10_found"]}) GROUP BY doc_id), d AS (SELECT doc_id, max(coalesce(length(text), 0)) AS n_chars FROM documents GROUP BY doc_id)
+SELECT doc_id, n_chars, coalesce(n_spans, 0) AS n_spans, coalesce(shared_chars, 0) AS shared_chars, CASE WHEN n_chars > 0 THEN round(coalesce(shared_chars, 0) / n_chars, 6) ELSE 0.0 END AS share FROM d LEFT JOIN s USING (doc_id)"""
+#: Classes of equal sets by the sets themselves, links between classes, and what can be reached over links.
+SQL["p3_groups"] = """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 3),
+h AS (SELECT doc_id, string_agg(g, chr(10) ORDER BY g) AS own, count(*) AS n FROM s GROUP BY doc_id), c AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY own) AS class_id FROM h),
+r AS (SELECT s.doc_id, g, n FROM s JOIN c ON c.doc_id = s.doc_id AND c.class_id = c.doc_id),
+l AS (SELECT a.doc_id AS x, b.doc_id AS y FROM r a JOIN r b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*))),
+p AS (SELECT class_id AS a, class_id AS b FROM c UNION SELECT p.a, l.y FROM p JOIN l ON l.x = p.b), m AS (SELECT a, min(b) AS group_id FROM p GROUP BY a), k AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
+SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(group_id, d.doc_id) AS group_id, coalesce(n_links, 0) AS n_links FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN c USING (doc_id) LEFT JOIN m ON m.a = c.class_id LEFT JOIN k ON k.x = c.class_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
