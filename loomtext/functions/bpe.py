@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from collections import Counter, defaultdict
@@ -122,17 +123,24 @@ def train(counts: dict[str, int], n_merges: int, specials: int = 2) -> Tokenizer
             pairs[p] += c
             where[p].add(i)
     merges: list[tuple[int, int]] = []
-    while len(merges) < n_merges and pairs:
-        best, n = min(pairs.items(), key=lambda x: (-x[1], x[0]))
-        if n < 2:
+    # the greatest count is on top; entries whose count has changed since are passed over
+    heap = [(-n, p) for p, n in pairs.items()]
+    heapq.heapify(heap)
+    while len(merges) < n_merges and heap:
+        n, best = heapq.heappop(heap)
+        if pairs[best] != -n:
+            continue
+        if -n < 2:
             break
         new = base + len(merges)
         merges.append(best)
+        changed: set[tuple[int, int]] = set()
         for i in list(where[best]):
             w, c = words[i]
             for p in zip(w, w[1:]):
                 pairs[p] -= c
                 where[p].discard(i)
+                changed.add(p)
             out, k = [], 0
             while k < len(w):
                 if k + 1 < len(w) and (w[k], w[k + 1]) == best:
@@ -145,5 +153,8 @@ def train(counts: dict[str, int], n_merges: int, specials: int = 2) -> Tokenizer
             for p in zip(out, out[1:]):
                 pairs[p] += c
                 where[p].add(i)
-        pairs = +pairs
+                changed.add(p)
+        for p in changed:
+            if pairs[p] > 0:
+                heapq.heappush(heap, (-pairs[p], p))
     return Tokenizer(merges, byte_ids, base)

@@ -16,14 +16,18 @@ DECODING = {"threshold": 0.5, "min_words": 3, "max_words": 6, "keep_all_up_to":
 JOINERS = "-'’"
 
 
+def _sorted(words: Column, *keys) -> Column:
+    """Words in order of ``keys``, which stand in front of them in a struct: so no comparison is a function of its own."""
+    return F.transform(F.sort_array(F.transform(words, lambda w: F.struct(*(k(w).alias(f"k{i}") for i, k in enumerate(keys)), w.alias("w")))), lambda x: x["w"])
+
+
 def top(words: Column, k: Column | int) -> Column:
     """The k words of the highest scores; equal scores keep text order."""
-    best = F.array_sort(words, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0)))
-    return F.slice(best, 1, F.lit(k) if isinstance(k, int) else k)
+    return F.slice(_sorted(words, lambda w: -w["score"], lambda w: w["start"]), 1, F.lit(k) if isinstance(k, int) else k)
 
 
 def in_text_order(words: Column) -> Column:
-    return F.array_sort(words, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0))
+    return _sorted(words, lambda w: w["start"])
 
 
 def without(words: Column, stop: list[str], least: int) -> Column:
@@ -48,8 +52,12 @@ def choose(words: Column, mode: str = "hybrid", budget: int | None = None, stop:
             return sure
         if mode != "hybrid":
             raise ValueError(f"unknown mode {mode!r}")
-        best = F.filter(top(w, r["max_words"]), lambda x: x["score"] >= r["threshold"])
-        return F.when(F.size(w) <= r["keep_all_up_to"], w).when(F.size(best) >= r["min_words"], best).otherwise(top(w, r["min_words"]))
+
+        def hybrid(first: Column) -> Column:
+            best = F.filter(F.slice(first, 1, r["max_words"]), lambda x: x["score"] >= r["threshold"])
+            return F.when(F.size(w) <= r["keep_all_up_to"], w).when(F.size(best) >= r["min_words"], best).otherwise(F.slice(first, 1, r["min_words"]))
+
+        return T.let(top(w, max(r["max_words"], r["min_words"])), hybrid)
 
     spoken = F.filter(words, lambda w: w["word"].rlike(r"[\p{L}\p{N}]"))
     return in_text_order(T.let(T.let(spoken, lambda w: without(w, stop or [], r["min_words"])), pick))

@@ -83,7 +83,7 @@ class Tagger:
         out = _norm(x, w["norm.weight"], w["norm.bias"]) @ w["head.weight"].T + w["head.bias"]
         return [out[i, : len(b), 0] for i, b in enumerate(batch)]
 
-    def words(self, texts: list[str], budget: int = 16_384) -> list[list[dict]]:
+    def words(self, texts: list[str], budget: int = 2_048) -> list[list[dict]]:
         """Scored words of each text: groups of tokens by the word rules, with the sigmoid of their mean logit. Groups without letter or digit are left out."""
         encoded = [self.tokenizer.encode(t) for t in texts]
         order = sorted(range(len(texts)), key=lambda i: len(encoded[i][0]))
@@ -92,11 +92,16 @@ class Tagger:
             part = order[lo:hi]
             for i, z in zip(part, self.logits([encoded[i][0] for i in part])):
                 spans = encoded[i][1]
-                for group in group_tokens(texts[i], spans):
+                if not spans:
+                    continue
+                groups = group_tokens(texts[i], spans)
+                size = np.fromiter(map(len, groups), np.int64, len(groups))
+                mean = np.add.reduceat(z, np.cumsum(size) - size) / size
+                for group, score in zip(groups, (1 / (1 + np.exp(-mean))).tolist()):
                     begin, end = spans[group[0]][0], spans[group[-1]][1]
                     word = texts[i][begin:end]
-                    if any(c.isalnum() for c in word):
-                        out[i].append({"word": word.strip().strip(T.EDGE_DASH), "start": begin, "end": end, "score": float(1 / (1 + np.exp(-z[group].mean()))), "tokens": len(group)})
+                    if any(map(str.isalnum, word)):
+                        out[i].append({"word": word.strip().strip(T.EDGE_DASH), "start": begin, "end": end, "score": score, "tokens": len(group)})
         return out
 
 

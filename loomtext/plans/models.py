@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bpe
 from ..functions import text as T
+from ..functions.session import cut_lineage
 from ..operators import labels as L
 from ..operators import sampling as S
 from ..operators import tagger, training
@@ -21,9 +22,11 @@ def piece_counts(messages):
     return messages.where("text IS NOT NULL").select(F.explode(T.pre_split(F.substring("text", 1, 1200))).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
 
 
-def learn(messages, n_merges: int = 512, max_pieces: int = 50_000) -> bpe.Tokenizer:
-    """Merges from the most frequent pieces, at most ``max_pieces`` of them on the driver."""
-    rows = piece_counts(messages).orderBy(F.desc("n"), "piece").limit(max_pieces).collect()
+def learn(messages, n_merges: int = 512, max_pieces: int = 200_000) -> bpe.Tokenizer:
+    """Merges from all pieces that are more than one in ``max_pieces`` of the text; so there are never more than that on the driver."""
+    counts = cut_lineage(piece_counts(messages), "pieces")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    rows = counts.where(F.col("n") * max_pieces >= total).collect()
     return bpe.train(dict(map(tuple, rows)), n_merges)
 
 
