@@ -105,6 +105,8 @@ def cube_sample(rows: DataFrame, block: int = 4000, seed: int = 9) -> DataFrame:
         if final:
             break
         todo = moved.where(f"p >= {EPS} AND p <= {1 - EPS}")
+    else:
+        raise RuntimeError("rows are left undecided")
     return done.select("source", "doc_id", "n_tokens", F.round("p").cast("int").alias("taken"))
 
 
