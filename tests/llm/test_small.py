@@ -166,6 +166,32 @@ def test_shortest_pack_first_by_item():
         assert all(sum(made * t for p, made in got for m, t in p if m == n) == c for n, c in counts.items())
 
 
+def test_gray_search_prunes_other_clusters():
+    """Codes in clusters, as near copies have them: the comparisons are counted against all pairs, and the pairs are those of brute force."""
+    rng = np.random.default_rng(3)
+    slots = np.repeat(rng.integers(0, 1 << 32, (75, neardup.SLOTS), np.uint32), 20, axis=0)
+    slots = np.where(rng.random(slots.shape) < 0.03, rng.integers(0, 1 << 32, slots.shape, np.uint32), slots)
+    codes = neardup.narrow(slots[rng.permutation(len(slots))])
+    visits = []
+    a, b = neardup.gray_search(codes, None, 109, visits=visits)
+    n = len(codes)
+    far = np.bitwise_count(codes[:, None] ^ codes[None]).sum(axis=2)
+    assert {(min(x), max(x)) for x in zip(a.tolist(), b.tolist())} == {(i, j) for i, j in zip(*np.nonzero(far <= 109)) if i < j}
+    assert sum(visits) < n * (n - 1) / 2 / 2, (visits, n * (n - 1) / 2)
+
+
+def test_large_nodes_are_parted(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[: rng.randrange(45, 60)] + [f"x{i}"])) for i in range(40)] + [(100 + i, " ".join(f"y{i}z{k}" for k in range(30))) for i in range(10)]
+    d = docs(spark, rows)
+    sigs = neardup._signatures(d.select("doc_id", "text"), 3, 4)
+    want = sorted(map(tuple, neardup.candidates(sigs, 109).collect()))
+    assert len(want) > 100
+    for block, deep in ((4, 1), (4, 100), (8, 2)):
+        assert sorted(map(tuple, neardup.candidates(sigs, 109, block, deep).collect())) == want
+
+
 def test_packing(spark):
     rng = random.Random(1)
     sizes = {i: rng.choice([0, 1, 5, 7, 30, 64, 65, 200, rng.randint(1, 64)]) for i in range(400)}
