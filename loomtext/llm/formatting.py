@@ -5,7 +5,7 @@ hashes are added up, so that order and layout don't matter and nothing is sorted
 no name and its words in their order. Records are grouped by the 128-bit sum, and each member is then compared with the record
 that stands for the group, words with words and fields with fields.
 
-Words are runs of letters and digits in lower case. A record whose words equal those of a field list in another
+Words are runs of letters and digits in lower case, and a field's name is up to three of them in 40 characters. A record whose words equal those of a field list in another
 layout belongs to that list as well.
 
 Defined results: null texts are left out; texts without words are one record, that of no words; repeated rows of an id
@@ -76,8 +76,8 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _rows(messages: DataFrame) -> DataFrame:
-    """(id, word_hi, word_lo, field_hi, field_lo, content): the prints of each record; content has what they were made of."""
+def _prints(messages: DataFrame, content: bool = False) -> DataFrame:
+    """(id, word_hi, word_lo, field_hi, field_lo): the prints of each record; with ``content``, (id, word_hi, word_lo, content), what they were made of."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -86,13 +86,14 @@ def _rows(messages: DataFrame) -> DataFrame:
                 w = words(t)
                 f = fields(t)
                 x = _print([("", w)])
-                y = _print(f) if f else None
+                y = _print(f) if f and not content else None
                 for c, v in zip(cols, (_signed(x >> 64), _signed(x & _MASK), None if y is None else _signed(y >> 64), None if y is None else _signed(y & _MASK), "\2".join(f"{k}\1{v}" for k, v in f) if f else w)):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string())], names=["id", "word_hi", "word_lo", "field_hi", "field_lo", "content"])
+            made = {"word_hi": cols[0], "word_lo": cols[1]} | ({"content": cols[4]} if content else {"field_hi": cols[2], "field_lo": cols[3]})
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.string() if k == "content" else pa.int64()) for k, c in made.items())], names=["id", *made])
 
     kind = messages.schema["id"].dataType.simpleString()
-    return spread(messages).mapInArrow(make, f"id {kind}, word_hi long, word_lo long, field_hi long, field_lo long, content string")
+    return spread(messages).mapInArrow(make, f"id {kind}, word_hi long, word_lo long, " + ("content string" if content else "field_hi long, field_lo long"))
 
 
 def _same(x: str, y: str) -> bool:
@@ -104,34 +105,52 @@ def _same(x: str, y: str) -> bool:
     return words(x) == words(y)
 
 
-def copies(messages: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, first_id): every record with the smallest id of the records that are the same; alone it is its own.
+def _source(messages: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return messages.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
 
-    Ids are compared byte by byte.
+
+def _followers(src: DataFrame, prints: DataFrame) -> DataFrame:
+    """(id, first_id) of the records that are the same as one of a smaller id.
+
+    Groups are found by the prints alone; texts travel once, and only those of groups of two ids or more are looked at.
     """
-    src = messages.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    rows = cut_lineage(_rows(src), "prints")
     # words of a field list lead a text without the layout to the list
-    twin = rows.where("field_hi IS NOT NULL").groupBy("word_hi", "word_lo").agg(F.min(F.struct("field_hi", "field_lo", "content")).alias("twin"))
-    keyed = rows.join(twin, ["word_hi", "word_lo"], "left").select("id", "content", F.when(F.col("field_hi").isNull(), F.col("twin.content")).alias("via"), F.coalesce("twin.field_hi", "word_hi").alias("hi"), F.coalesce("twin.field_lo", "word_lo").alias("lo"))
-    # one row an id and content; the partial aggregation takes repeated rows off before the shuffle
-    group = keyed.groupBy("hi", "lo").agg(F.min(F.struct("id", F.coalesce("via", "content").alias("content"))).alias("first"), F.max("id").alias("last"))
-    many = group.where("first.id <> last").select("hi", "lo", F.col("first.id").alias("first_id"), F.col("first.content").alias("first_content"))
+    twin = prints.where("field_hi IS NOT NULL").groupBy("word_hi", "word_lo").agg(F.min(F.struct("field_hi", "field_lo", "id")).alias("twin"))
+    keyed = prints.join(twin, ["word_hi", "word_lo"], "left").select("id", "word_hi", "word_lo", F.when(F.col("field_hi").isNull(), F.col("twin.id")).alias("via_id"), F.coalesce("twin.field_hi", "word_hi").alias("hi"), F.coalesce("twin.field_lo", "word_lo").alias("lo"))
+    many = keyed.groupBy("hi", "lo").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id <> last_id").drop("last_id")
+    # repeated rows of an id are one from here on
+    member = cut_lineage(keyed.join(many, ["hi", "lo"]).groupBy("id", "word_hi", "word_lo").agg(*(F.min(c).alias(c) for c in ("via_id", "hi", "lo", "first_id"))), "members")
+    texts = _prints(src.join(member.select("id").distinct(), "id", "left_semi"), content=True)
+    own = cut_lineage(texts.groupBy("id", "word_hi", "word_lo").agg(F.min("content").alias("content")).join(member, ["id", "word_hi", "word_lo"]), "contents")
+    via = own.select(F.col("id").alias("via_id"), "hi", "lo", F.col("content").alias("via"))
+    own = own.join(via, ["via_id", "hi", "lo"], "left").select("id", "first_id", "hi", "lo", "content", "via")
+    first = own.where("id = first_id").select("hi", "lo", F.coalesce("via", "content").alias("first_content"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own, first = b.column(0).to_pylist(), b.column(1).to_pylist()
             # words without a layout are compared with the list that has them, and that list with the first
-            ok = [y is not None and (_same(x, y) if v is None else _same(x, v) and _same(v, y)) for x, v, y in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f if k else o for o, f, k in zip(own, first, ok)], b.column(0).type)], names=["id", "first_id"])
+            ok = [_same(x, y) if v is None else _same(x, v) and _same(v, y) for x, v, y in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["id", "first_id"]).filter(pa.array(ok, pa.bool_()))
+
+    kind = prints.schema["id"].dataType.simpleString()
+    rows = own.where("id <> first_id").join(first, ["hi", "lo"]).select("id", "first_id", "content", "via", "first_content")
+    return rows.mapInArrow(verify, f"id {kind}, first_id {kind}").groupBy("id").agg(F.min("first_id").alias("first_id"))
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return keyed.join(many, ["hi", "lo"], "left").select("id", "first_id", "content", "via", "first_content").mapInArrow(verify, f"id {kind}, first_id {kind}").groupBy("id").agg(F.min("first_id").alias("first_id"))
+
+def copies(messages: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, first_id): every record with the smallest id of the records that are the same; alone it is its own.
+
+    Ids are compared byte by byte.
+    """
+    src = _source(messages, id_col, text_col)
+    prints = cut_lineage(_prints(src), "prints")
+    return prints.select("id", F.col("id").alias("first_id")).union(_followers(src, prints)).groupBy("id").agg(F.min("first_id").alias("first_id"))
 
 
 def pairs(messages: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id_1, id_2): the smallest id of each set of equal records with each of the others."""
-    return copies(messages, id_col, text_col).where("first_id <> id").select(F.col("first_id").alias("id_1"), F.col("id").alias("id_2"))
+    src = _source(messages, id_col, text_col)
+    return _followers(src, cut_lineage(_prints(src), "prints")).select(F.col("first_id").alias("id_1"), F.col("id").alias("id_2"))
 
 
 def collapsed(messages: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
