@@ -172,12 +172,14 @@ def test_gray_search_prunes_other_clusters():
     slots = np.repeat(rng.integers(0, 1 << 32, (75, neardup.SLOTS), np.uint32), 20, axis=0)
     slots = np.where(rng.random(slots.shape) < 0.03, rng.integers(0, 1 << 32, slots.shape, np.uint32), slots)
     codes = neardup.narrow(slots[rng.permutation(len(slots))])
-    visits = []
+    visits: list[int] = []
     a, b = neardup.gray_search(codes, None, 109, visits=visits)
+    side = rng.integers(0, 3, len(codes))
+    assert {tuple(sorted(x)) for x in zip(*neardup.gray_search(codes, side, 109))} == {tuple(sorted(x)) for x in zip(a, b) if side[x[0]] != side[x[1]]}
     n = len(codes)
     far = np.bitwise_count(codes[:, None] ^ codes[None]).sum(axis=2)
     assert {(min(x), max(x)) for x in zip(a.tolist(), b.tolist())} == {(i, j) for i, j in zip(*np.nonzero(far <= 109)) if i < j}
-    assert sum(visits) < n * (n - 1) / 2 / 2, (visits, n * (n - 1) / 2)
+    assert sum(visits) < n * (n - 1) / 2 / 4, (visits, n * (n - 1) / 2)
 
 
 def test_large_nodes_are_parted(spark):
@@ -452,6 +454,7 @@ def test_languages(spark):
         got.setdefault(r.id, set()).add(r.language)
     assert got == {"mix": {"English", "French"}, "miss": {"French"}, "wrong": {"English"}}
     assert language.documents(found).where("id = 'long'").count() == 1
+    assert {(r.id, r.confidence) for r in language.documents(found).where("language IS NULL").collect()} == {("null", 0.0), ("blank", 0.0), ("num", 0.0)}
     assert language.segments(d.where("false")).count() == 0
 
 
