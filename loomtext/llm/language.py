@@ -8,7 +8,7 @@ A path of least cost through the positions (Viterbi) decides where the language
 within one, so that names and a few foreign words don't make one; positions in program text have no say. Of each language on the path its
 positions' probabilities are pooled into a confidence.
 
-Defined results: null and blank texts, and texts without letters, have no language; repeated rows of one id count once.
+Defined results: null and blank texts, and texts without letters, have one segment of no language with confidence 0; repeated rows of one id count once.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.session import cut_lineage, spread
 from .bytegru import ByteGRU
 from .lexicon import LANGUAGES, clean_label
+from .numtext import slices
 
 _SENTENCE = re.compile(r"(?<=[.?!;])\s+|\n+")
 _LETTERS = re.compile(r"[^\W\d_]")
@@ -296,7 +297,10 @@ def segments(messages: DataFrame, net: ByteGRU | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = label_texts(shared.value, b.column(1).to_pylist(), b.column(2).to_pylist())
+            texts, labels, found = b.column(1).to_pylist(), b.column(2).to_pylist(), []
+            for lo, hi in slices(texts):
+                found += label_texts(shared.value, texts[lo:hi], labels[lo:hi])
+            found = [f or [(None, 0.0, 0, len(t or ""))] for f, t in zip(found, texts)]
             take = pa.array([i for i, f in enumerate(found) for _ in f], pa.int32())
             flat = [x for f in found for x in f]
             kinds = (pa.string(), pa.float64(), pa.int32(), pa.int32())
@@ -307,13 +311,13 @@ def segments(messages: DataFrame, net: ByteGRU | None = None) -> DataFrame:
 
 
 def documents(found: DataFrame) -> DataFrame:
-    """(id, label, language, confidence) per language that occurs in a text; the confidence is the mean over its characters."""
+    """(id, label, language, confidence) per language that occurs in a text; the confidence is the mean over its characters. A text without one has a null."""
     n = F.col("seg_end") - F.col("seg_start")
-    return found.groupBy("id", "label", "language").agg(F.round(F.sum(F.col("confidence") * n) / F.sum(n), 6).alias("confidence"))
+    return found.groupBy("id", "label", "language").agg(F.coalesce(F.round(F.try_divide(F.sum(F.col("confidence") * n), F.sum(n)), 6), F.lit(0.0)).alias("confidence"))
 
 
 def doubtful(found: DataFrame) -> DataFrame:
     """(id, language) of texts whose label is missing or wrong, or that have several languages."""
-    each = found.groupBy("id").agg(F.first("label").alias("label"), F.array_sort(F.collect_set("language")).alias("langs"))
+    each = found.where("language IS NOT NULL").groupBy("id").agg(F.first("label").alias("label"), F.array_sort(F.collect_set("language")).alias("langs"))
     wrong = each.where("label IS NULL OR size(langs) > 1 OR NOT array_contains(langs, label)")
     return wrong.select("id", F.explode("langs").alias("language"))
