@@ -11,7 +11,8 @@ The rules look at the raw answer, with the message that it answers:
 6. Words of a language or script that no sentence of the message is in make it ``language``.
 
 ``all_defects`` has every rule that fires, each judged by itself, ``defect`` the first in the order above. Only a message of less than
-20 characters that is its own title, or an answer of which nothing is left, ends the search: there is nothing more to judge.
+20 characters that is its own title, or an answer of which nothing is left, ends the search: there is nothing more to judge. An answer
+that breaks off within its reasoning hasn't begun, so it is truncated and not empty.
 
 Defined results: a null raw is empty; rows with an error have no defect; without a message the rules about it don't fire; repeated
 rows give one record.
@@ -74,6 +75,8 @@ CALLING = {
     "Polish": "i lub że z ze bez dla od do na w o po przy według",
     "Russian": "и или что с со без для от до на в во о об про по к у мой моя наш",
 }
+#: Words behind which "that" points back.
+_PREPOSITIONS = frozenset("of to for with from by at on about like".split())
 CALLING = {k: frozenset(v.split()) for k, v in CALLING.items()}
 _PAIRS = (('"', '"'), ("“", "”"), ("„", "“”"), ("«", "»"), ("‘", "’"), ("'", "'"), ("`", "`"), ("(", ")"), ("[", "]"), ("{", "}"))
 _CUT = re.compile(r"[,(\[{–—-]$")
@@ -141,7 +144,8 @@ class TitleRules:
         """The last word breaks off within a word of the message, or calls for another one."""
         last, whole = words[-1], set(own)
         within = last not in whole and any(len(w) > len(last) and w.startswith(last) for w in whole)
-        calls = not (follows and words[-2:] == own[-2:]) and any(last in CALLING[x] for x in (self.languages_of(message) if message else CALLING))
+        pointing = len(words) > 1 and last == "that" and words[-2] in _PREPOSITIONS  # "help with that" is complete
+        calls = not pointing and not (follows and words[-2:] == own[-2:]) and any(last in CALLING[x] for x in (self.languages_of(message) if message else CALLING))
         return within or calls or bool(_CUT.search(text.rstrip(" \t\n.!?…\"'*”»")))
 
     def __call__(self, raw: str | None, message: str | None) -> list[str]:
@@ -149,7 +153,7 @@ class TitleRules:
         words, own = _WORD.findall(text.lower()), _WORD.findall(message.lower()) if message else []
         out = ["truncated"] if think else []
         if not words or " ".join(words) in NOTHING and own != words:
-            return [*out, "empty"]
+            return out or ["empty"]
         rest = iter(own)
         follows = bool(own) and all(w in rest for w in words)
         # white space and case are no difference, nor are the marks between words
