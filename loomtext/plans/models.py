@@ -63,6 +63,13 @@ def reference_titles(spark, sf):
     return tagger.both_titles(m, seeded_model(learn(read(spark, sf, "messages")))).select("id", "title", "title_budget")
 
 
+def precision_report(spark, sf):
+    """How many titles stay the same when the seeded model is stored at 3, 4 or 8 bits instead of as floats."""
+    m = read(spark, sf, "messages").where("id IS NOT NULL").groupBy("id").agg(F.min("text").alias("text"))
+    tok = learn(read(spark, sf, "messages"))
+    return tagger.precision_report(m, {f"int{b}" if b < 32 else "fp32": seeded_model(tok, b) for b in (3, 4, 8, 32)}, "fp32")
+
+
 def _training(spark, sf):
     t = S.first_wins(read(spark, sf, "teacher_titles").where("error IS NULL AND run_id IS NOT NULL").select("run_id", "id", "raw"), "run_id", "id")
     t = O.cleaned(t).select("id", F.col("clean").alias("title"), "refused")
@@ -87,4 +94,4 @@ def alignment_check(spark, sf):
 
 PIECE_SQL = f"SELECT piece, count(*) AS n FROM (SELECT unnest({Q.pre_split('substr(text, 1, 1200)')}) AS piece FROM messages WHERE text IS NOT NULL) GROUP BY piece"
 
-QUERIES = {"bpe_pieces": (bpe_pieces, PIECE_SQL), "model_titles": (model_titles, None), "reference_titles": (reference_titles, None), "training_rows": (training_rows, None), "labeling_funnel": (labeling_funnel, None), "alignment_check": (alignment_check, None)}
+QUERIES = {"bpe_pieces": (bpe_pieces, PIECE_SQL), "model_titles": (model_titles, None), "reference_titles": (reference_titles, None), "precision_report": (precision_report, None), "training_rows": (training_rows, None), "labeling_funnel": (labeling_funnel, None), "alignment_check": (alignment_check, None)}

@@ -72,6 +72,14 @@ def write(header: dict, merges: np.ndarray, weights: dict[str, np.ndarray], bits
     return b"".join((MAGIC, size(len(head)), head, size(merges.nbytes), merges.tobytes(), body.getvalue()))
 
 
+def size_estimate(weights: dict[str, np.ndarray], bits: int) -> float:
+    """Bytes of the tensors at ``bits`` bits, with a half float a row as scale; small tensors and vectors are half floats."""
+    cut = [np.asarray(a) for a in weights.values()]
+    large = [a for a in cut if a.ndim >= 2 and a.size >= 64]
+    n = sum(a.size for a in large)
+    return n * bits / 8 + 2 * (sum(a.size for a in cut) - n) + 2 * sum(len(a) for a in large)
+
+
 def parse(data: bytes) -> Model:
     view = memoryview(data)
 

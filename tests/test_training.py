@@ -7,7 +7,7 @@ from loomtext.functions import session
 from loomtext.functions import text as T
 from loomtext.operators import decode, labels, sampling, tagger, titles, training
 from loomtext.plans import models
-from loomtext.sources import teacher
+from loomtext.sources import modelfile, teacher
 
 #: Texts and the words that their pieces make up.
 WORDS = [
@@ -150,3 +150,16 @@ def test_a_cluster_needs_a_shared_folder():
         session.shared_folder(Session())
     Session.sparkContext.master = "local[4]"
     assert session.shared_folder(Session())
+
+
+def test_sizes_precision_and_latency(spark):
+    m = spark.createDataFrame([("1", "the old stone bridge near the mill and the river"), ("2", ""), ("3", "x")], "id string, text string")
+    tok = models.learn(m, 20)
+    files = {str(b): models.seeded_model(tok, b) for b in (3, 32)}
+    weights = modelfile.parse(files["32"]).weights
+    assert modelfile.size_estimate(weights, 3) < len(files["3"]) < modelfile.size_estimate(weights, 3) + 10_000
+    rows = {r.file: r for r in tagger.precision_report(m, files, "32").collect()}
+    assert rows["32"].n_same == rows["32"].n == 3 and rows["32"].n_empty == 1 and rows["3"].n_same >= 2
+    both = {r.id: r for r in tagger.both_titles(m, files["32"], budget=2).collect()}
+    assert len(both["1"].title_budget.split()) == 2 and both["2"].title == "" and both["3"].title == "x"
+    assert tagger.latency(["stone bridge"] * 3, files["3"], warm=1, passes=1)["ms_per_title"] > 0
