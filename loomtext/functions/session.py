@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -51,9 +52,18 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """At least one partition per core for an expensive stage; inputs that already have them stay as they are."""
+_SHUFFLE = re.compile(r"(?<!Broadcast)Exchange (?:hash|range|RoundRobin|SinglePartition)")
+
+
+def spread(df: DataFrame, heavy: bool = False) -> DataFrame:
+    """At least one partition per core for an expensive stage over files; inputs that already have them stay as they are.
+
+    What comes out of a shuffle stays as it is as well, unless the stage is so ``heavy`` that one more shuffle is nothing beside it: asking for its number of
+    partitions would run the shuffle.
+    """
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if _SHUFFLE.search(df._jdf.queryExecution().executedPlan().toString()):
+        return df.repartition(max(cores, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))) if heavy else df
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -147,7 +147,7 @@ def score_words(messages: DataFrame, source, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(tagger.words(b.column(len(names)).to_pylist()), kind)], names=[*names, "words"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in messages.schema.fields)
-    return spread(d.select(*names, "_t")).mapInArrow(run, f"{schema}, words {WORDS}")
+    return spread(d.select(*names, "_t"), heavy=True).mapInArrow(run, f"{schema}, words {WORDS}")
 
 
 def both_titles(messages: DataFrame, source, budget: int = 6, text: str = "text") -> DataFrame:

@@ -154,7 +154,7 @@ def training_rows(titles: DataFrame, messages: DataFrame, tok: Tokenizer, limit:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["id", "title", "status", "truncated", "ids", "labels", "words"])
 
     d = titles.select("id", "title", "refused").join(messages.select("id", F.substring("text", 1, limit).alias("_text")), "id", "left")
-    return spread(d.select("id", "title", "refused", "_text")).mapInArrow(run, SCHEMA)
+    return spread(d.select("id", "title", "refused", "_text"), heavy=True).mapInArrow(run, SCHEMA)
 
 
 def labeling_funnel(rows: DataFrame) -> DataFrame:
