@@ -180,9 +180,8 @@ class ToxicModel:
                 out[i] = -0.7
         return out
 
-    def best(self, text: str | None) -> tuple[float, int, list[str]]:
-        """Score of the best segment, number of words, and that segment."""
-        words = tokens(text)
+    def best(self, words: list[str]) -> tuple[float, int, list[str]]:
+        """Score of the best segment of a tokenised text, number of words, and that segment."""
         found = segments(self.scores(words))
         if not found:
             return 0.0, len(words), []
@@ -190,11 +189,14 @@ class ToxicModel:
         return s, len(words), words[b:e]
 
     def judge(self, text: str | None, e_value: float = 0.01, min_score: float = 1.2) -> tuple[float, float, str, bool, list[tuple[str, float, float]]]:
+        """As ``judge_words``, of a text as it stands."""
+        return self.judge_words(tokens(text), e_value, min_score)
+
+    def judge_words(self, words: list[str], e_value: float = 0.01, min_score: float = 1.2) -> tuple[float, float, str, bool, list[tuple[str, float, float]]]:
         """Score, chance, best passage, whether it is a case, and its significant passages (passage, score, chance) in order of the text.
 
         Passages that are significant alone count, and those of the sum when the text is a case by it.
         """
-        words = tokens(text)
         n = len(words)
         found = sorted(segments(self.scores(words)), key=lambda x: -x[2])
         if not found:
@@ -221,6 +223,19 @@ class ToxicModel:
         return self.k * max(1, n) * math.exp(-self.lam * score)
 
 
+def tokenised(df: DataFrame, text: str = "text") -> DataFrame:
+    """``tokens`` in the place of the text, with blanks between: tokenising is the dearest step, and all others go over the same tokens."""
+    names = [c for c in df.columns if c != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = pa.array([" ".join(tokens(t)) for t in b.column(len(names)).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), made], names=[*names, "tokens"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema.fields)
+    return spread(df.select(*names, text)).mapInArrow(run, f"{schema}, tokens string" if names else "tokens string")
+
+
 def _sum(df: DataFrame, fn, schema: str, key: str) -> DataFrame:
     return df.mapInArrow(fn, schema).groupBy(key).agg(*(F.sum(c).alias(c) for c in [x.split()[0] for x in schema.split(", ")] if c != key))
 
@@ -229,8 +244,10 @@ def fit(messages: DataFrame, min_flagged: int = 3, max_runs: int = 500_000, prio
     """Counts over all messages. A run is kept from ``min_flagged`` flagged texts on, and from a share of one in ``max_runs`` of all the counts on;
     so there are never more of them than that, and no order decides which.
 
-    messages: text, toxic; one row a record.
+    messages: text or tokens, toxic; one row a record.
     """
+    if "tokens" not in messages.columns:
+        messages = cut_lineage(tokenised(messages), "tokens")
     spark = messages.sparkSession
     flagged = messages.where("toxic")
 
@@ -241,23 +258,23 @@ def fit(messages: DataFrame, min_flagged: int = 3, max_runs: int = 500_000, prio
 
     def flagged_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = Counter(w for t in b.column(0).to_pylist() for w in set(tokens(t)))
+            c = Counter(w for t in b.column(0).to_pylist() for w in set(t.split()))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["run", "y"])
 
-    words = _sum(flagged.select("text"), flagged_words, "run string, y long", "run").where(F.col("y") >= min_flagged)
+    words = _sum(flagged.select("tokens"), flagged_words, "run string, y long", "run").where(F.col("y") >= min_flagged)
     words = frequent(words)
     known = frozenset(r[0] for r in words)
     vocab = spark.sparkContext.broadcast(known)  # at most max_runs words
 
-    def runs_of(text: str | None, known) -> set[str]:
-        return {r for _, w, two, three in grams(tokens(text), known) for r in (w, two, three) if r}
+    def runs_of(words: str, known) -> set[str]:
+        return {r for _, w, two, three in grams(words.split(), known) for r in (w, two, three) if r}
 
     def flagged_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             c = Counter(r for t in b.column(0).to_pylist() for r in runs_of(t, vocab.value))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["run", "y"])
 
-    found = _sum(flagged.select("text"), flagged_runs, "run string, y long", "run").where(F.col("y") >= min(2, min_flagged))
+    found = _sum(flagged.select("tokens"), flagged_runs, "run string, y long", "run").where(F.col("y") >= min(2, min_flagged))
     found = frequent(found)
     y = {r[0]: r[1] for r in found}
     wanted = spark.sparkContext.broadcast((known, y))  # at most max_runs runs
@@ -271,7 +288,7 @@ def fit(messages: DataFrame, min_flagged: int = 3, max_runs: int = 500_000, prio
                 c.update(r for r in runs_of(t, known) if r in y)
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["run", "n"])
 
-    n = {r[0]: r[1] for r in _sum(spread(messages.where("toxic IS NOT NULL").select("text")), all_runs, "run string, n long", "run").collect()}
+    n = {r[0]: r[1] for r in _sum(spread(messages.where("toxic IS NOT NULL").select("tokens")), all_runs, "run string, n long", "run").collect()}
     docs, raised = max(1, n.pop("<n>", 0)), max(1, flagged.count())
     rate = min(0.5, max(1e-4, raised / docs))
     cut = border([(min(y[r], n[r]), n[r]) for r in y if r in n and y[r] > 0.1 * n[r]])
@@ -295,13 +312,13 @@ def _calibrate(model: ToxicModel, messages: DataFrame, bins: int = 60) -> ToxicM
         m, c, size = shared.value, Counter(), Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
-                s, n, _ = m.best(t)
+                s, n, _ = m.best(t.split())
                 k = min(bins, int(s * 4))
                 c[k] += 1
                 size[k] += n
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()), pa.array(list(c.values()), pa.int64()), pa.array([size[k] for k in c], pa.int64())], names=["bin", "n", "words"])
 
-    rows = _sum(spread(messages.where("NOT toxic").select("text")), hist, "bin long, n long, words long", "bin").collect()
+    rows = _sum(spread(messages.where("NOT toxic").select("tokens")), hist, "bin long, n long, words long", "bin").collect()
     total, words = sum(r[1] for r in rows) or 1, sum(r[2] for r in rows) or 1
     # the bulk of the unflagged texts: abusive ones among them sit above it
     below = {r[0]: r[1] for r in rows if r[0] < 4}
@@ -321,8 +338,8 @@ def score(messages: DataFrame, model: ToxicModel | None = None, e_value: float =
     passage is the best one, passages has all that are significant, with the score and e_value of each.
     """
     src = messages.groupBy("id").agg(F.max_by(F.struct("text", "source", "toxic"), F.struct(F.col("text").isNotNull(), "text", "source", "toxic")).alias("m")).where("id IS NOT NULL").select("id", "m.*")
-    src = cut_lineage(src, "messages")
-    model = model or fit(src.select("text", "toxic"))
+    src = cut_lineage(tokenised(src), "messages")
+    model = model or fit(src.select("tokens", "toxic"))
     shared = messages.sparkSession.sparkContext.broadcast(model)  # bounded by max_runs
 
     passages = pa.list_(pa.struct([("passage", pa.string()), ("score", pa.float64()), ("e_value", pa.float64())]))
@@ -330,7 +347,7 @@ def score(messages: DataFrame, model: ToxicModel | None = None, e_value: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            found = [m.judge(t, e_value, min_score) for t in b.column(2).to_pylist()]
+            found = [m.judge_words(t.split(), e_value, min_score) for t in b.column(2).to_pylist()]
             values = [
                 [round(x[0], 6) for x in found],
                 [round(min(x[1], 1e6), 9) for x in found],
@@ -342,7 +359,7 @@ def score(messages: DataFrame, model: ToxicModel | None = None, e_value: float =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, values, kinds)], names=["id", "source", "score", "e_value", "passage", "is_toxic", "passages"])
 
     kind = src.schema["id"].dataType.simpleString()
-    return src.select("id", "source", "text").mapInArrow(run, f"id {kind}, source string, score double, e_value double, passage string, is_toxic boolean, passages array<struct<passage: string, score: double, e_value: double>>")
+    return src.select("id", "source", "tokens").mapInArrow(run, f"id {kind}, source string, score double, e_value double, passage string, is_toxic boolean, passages array<struct<passage: string, score: double, e_value: double>>")
 
 
 def rates(scored: DataFrame) -> DataFrame:
