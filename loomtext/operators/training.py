@@ -24,7 +24,7 @@ from .titles import LIMIT
 Span = tuple[int, int]
 _RUN = re.compile(r"[^\W_]+")
 _UNSPACED = re.sub(r"\\x\{(\w+)\}", r"\\u\1", T.UNSPACED)
-_INNER = rf"[^\W_{_UNSPACED}]"
+_BOUNDS = re.compile(f"[{_UNSPACED}]")
 SCHEMA = "id string, title string, status string, truncated boolean, ids array<int>, labels array<int>, words array<int>"
 
 
@@ -45,6 +45,11 @@ def one_edit(a: str, b: str) -> bool:
     return a[at + 1 :] == b[at + 1 :] or (a[at + 2 :] == b[at + 2 :] and a[at : at + 2] == b[at : at + 2][::-1])
 
 
+def _inner(text: str, at: int) -> bool:
+    """Is there a letter or digit at this place that would go on with a word? Ideographs, kana and hangul don't."""
+    return 0 <= at < len(text) and text[at].isalnum() and not _BOUNDS.match(text[at])
+
+
 class Message:
     """A text in which words of titles are looked for."""
 
@@ -55,14 +60,26 @@ class Message:
     def words(self) -> list[tuple[str, Span]]:
         return [(m[0].lower(), m.span()) for m in _RUN.finditer(self.text)]
 
+    @cached_property
+    def stems(self) -> list[tuple[str, Span]]:
+        return [(stem(w), span) for w, span in self.words]
+
     def places(self, word: str) -> tuple[list[Span], str | None]:
         """Where the word, in lower case, may be meant, and by which rule."""
-        if exact := [m.span() for m in re.finditer(f"(?<!{_INNER}){re.escape(word)}(?!{_INNER})", self.low)]:
+        exact, at = [], self.low.find(word)
+        while at >= 0:
+            end = at + len(word)
+            whole = not _inner(self.low, at - 1) and not _inner(self.low, end)
+            if whole:
+                exact.append((at, end))
+            at = self.low.find(word, end if whole else at + 1)
+        if exact:
             return exact, "exact"
         own = stem(word)
-        for rule, fits in (("stem", lambda w: stem(w) == own), ("typo", lambda w: one_edit(w, word))):
-            if found := [span for w, span in self.words if fits(w)]:
-                return found, rule
+        if found := [span for s, span in self.stems if s == own]:
+            return found, "stem"
+        if found := [span for w, span in self.words if one_edit(w, word)]:
+            return found, "typo"
         return [], None
 
     def align(self, title: str) -> tuple[list[Span] | None, str]:
