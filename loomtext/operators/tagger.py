@@ -9,11 +9,10 @@ from __future__ import annotations
 import math
 import time
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -24,31 +23,56 @@ from . import decode
 WORDS = "array<struct<word:string,start:int,end:int,score:double,tokens:int>>"
 
 
-def _norm(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = x - x.mean(axis=-1, keepdims=True)
-    return x / np.sqrt((x * x).mean(axis=-1, keepdims=True) + 1e-5) * w + b
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows with mean 0 and variance 1; what a norm does beside that is in the weights that follow it."""
+    x = x - (x @ np.full(x.shape[1], 1 / x.shape[1], np.float32))[:, None]
+    x *= (1 / np.sqrt(np.einsum("ij,ij->i", x, x) / np.float32(x.shape[1]) + np.float32(1e-5)))[:, None]
+    return x
 
 
 #: Coefficients of a polynomial in 1 / (1 + 0.3275911 x) for the error function (Abramowitz and Stegun 7.1.26).
 _ERF = (1.061405429, -1.453152027, 1.421413741, -0.284496736, 0.254829592)
-
-
-def _erf(x: np.ndarray) -> np.ndarray:
-    t = 1 / (1 + np.float32(0.3275911) * np.abs(x))
-    y = np.zeros_like(t)
-    for c in _ERF:
-        y = (y + np.float32(c)) * t
-    return np.copysign(1 - y * np.exp(-x * x), x)
+#: Numbers that go through ``_gelu`` at once, so that its steps stay in the cache.
+_PART = 16_384
 
 
 def _gelu(x: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * x * (1 + _erf(x * np.float32(math.sqrt(0.5))))
+    """In place: x when positive, less |x| times half of what is left of the error function to 1."""
+    flat = x.reshape(-1)
+    for lo in range(0, len(flat), _PART):
+        part = flat[lo : lo + _PART]
+        size = np.abs(part)
+        half = size * np.float32(0.5)
+        t = size * np.float32(0.3275911 * math.sqrt(0.5))
+        t += np.float32(1)
+        np.reciprocal(t, out=t)
+        y = t * np.float32(_ERF[0] / 2)
+        for c in _ERF[1:]:
+            y += np.float32(c / 2)
+            y *= t
+        y *= size
+        size *= size
+        size *= np.float32(-0.5)
+        y *= np.exp(size, out=size)
+        part *= np.float32(0.5)
+        part += half
+        part -= y
+    return x
 
 
 class Tagger:
     def __init__(self, model: Model) -> None:
         self.h, self.w = model.header, model.weights
         self.tokenizer = model.tokenizer()
+        dim = len(self.w["norm.weight"])
+        # queries come out divided by the root of a head's width
+        root = np.repeat((1 / math.sqrt(dim // self.h["heads"]), 1.0), (dim, 2 * dim))
+        plain = lambda name: (np.ascontiguousarray(self.w[f"{name}.weight"].T), self.w[f"{name}.bias"])
+        self.layers = [
+            (self._after_norm(f"{b}.n1", f"{b}.att.qkv", root), plain(f"{b}.att.output"), self._after_norm(f"{b}.n2", f"{b}.ff.net.0"), plain(f"{b}.ff.net.2"))
+            for b in (f"blocks.{k}" for k in range(self.h["layers"]))
+        ]
+        self.last = self._after_norm("norm", "head")
 
     def _positions(self, n: int) -> np.ndarray:
         at = np.minimum(np.arange(n), self.h["max_pos"] - 1)
@@ -58,6 +82,13 @@ class Tagger:
         angle = at[:, None] / np.power(10000.0, np.arange(0, d, 2) / d)
         return np.stack((np.sin(angle), np.cos(angle)), -1).reshape(n, d).astype(np.float32)
 
+    def _after_norm(self, norm: str, linear: str, scale: np.ndarray | float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+        """(matrix, bias) of a linear layer that takes up the weights of the norm before it."""
+        w = self.w
+        matrix = w[f"{linear}.weight"].astype(np.float64).T * np.asarray(scale)
+        bias = w[f"{norm}.bias"] @ matrix + w[f"{linear}.bias"] * np.asarray(scale)
+        return np.ascontiguousarray(w[f"{norm}.weight"][:, None] * matrix, np.float32), bias.astype(np.float32)
+
     def logits(self, batch: list[list[int]]) -> list[np.ndarray]:
         """One logit a token for every text of the batch; padding is masked out of the attention."""
         w, heads = self.w, self.h["heads"]
@@ -71,40 +102,67 @@ class Tagger:
         x = w["emb_tok.weight"][ids]
         if self.h["dim_emb"]:
             x = x @ w["proj_emb.weight"].T
-        x = x + self._positions(longest)
-        for layer in range(self.h["layers"]):
-            p = lambda name, layer=layer: (w[f"blocks.{layer}.{name}.weight"], w[f"blocks.{layer}.{name}.bias"])
-            lin = lambda y, name: y @ p(name)[0].T + p(name)[1]  # noqa: E731, B023
-            qkv = lin(_norm(x, *p("n1")), "att.qkv").reshape(*ids.shape, 3, heads, -1)
-            q, k, v = (qkv[:, :, i].transpose(0, 2, 1, 3) for i in range(3))
-            s = np.where(live[:, None, None, :], q @ k.transpose(0, 1, 3, 2) / math.sqrt(q.shape[-1]), np.float32(-1e9))
-            s = np.exp(s - s.max(axis=-1, keepdims=True))
-            mixed = (s / s.sum(axis=-1, keepdims=True)) @ v
-            x = x + lin(mixed.transpose(0, 2, 1, 3).reshape(*ids.shape, -1), "att.output")
-            x = x + lin(_gelu(lin(_norm(x, *p("n2")), "ff.net.0")), "ff.net.2")
-        out = _norm(x, w["norm.weight"], w["norm.bias"]) @ w["head.weight"].T + w["head.bias"]
-        return [out[i, : len(b), 0] for i, b in enumerate(batch)]
-
-    def words(self, texts: list[str], budget: int = 2_048) -> list[list[dict]]:
+        x = (x + self._positions(longest)).reshape(ids.size, -1)
+        width = x.shape[1] // heads
+        # queries, keys and values with one number more: 1 and the mask, which the product adds up, and 1 in the values, which gives the sum
+        three = np.ones((3, len(batch), heads, longest, width + 1), np.float32)
+        three[1, ..., width] = np.where(live, np.float32(0), np.float32(-1e9))[:, None]
+        for (qkv, qkv_b), (out, out_b), (up, up_b), (down, down_b) in self.layers:
+            y = _unit(x) @ qkv
+            y += qkv_b
+            three[..., :width] = y.reshape(*ids.shape, 3, heads, width).transpose(2, 0, 3, 1, 4)
+            s = three[0] @ three[1].swapaxes(-1, -2)
+            s -= s.max(axis=-1, keepdims=True)
+            mixed = np.exp(s, out=s) @ three[2]
+            mixed = (mixed[..., :width] / mixed[..., width:]).transpose(0, 2, 1, 3).reshape(ids.size, -1)
+            x += mixed @ out
+            x += out_b
+            y = _unit(x) @ up
+            y += up_b
+            x += _gelu(y) @ down
+            x += down_b
+        last, last_b = self.last
+        z = (_unit(x) @ last + last_b).reshape(ids.shape)
+        return [z[i, : len(b)] for i, b in enumerate(batch)]
+
+    def words(self, texts: list[str], budget: int = 1_024) -> list[list[dict]]:
         """Scored words of each text: groups of tokens by the word rules, with the sigmoid of their mean logit. Groups without letter or digit are left out."""
-        encoded = [self.tokenizer.encode(t) for t in texts]
-        order = sorted(range(len(texts)), key=lambda i: len(encoded[i][0]))
-        out: list[list[dict]] = [[] for _ in texts]
-        for lo, hi in length_batches([len(encoded[i][0]) for i in order], budget):
-            part = order[lo:hi]
-            for i, z in zip(part, self.logits([encoded[i][0] for i in part])):
-                spans = encoded[i][1]
-                if not spans:
-                    continue
-                groups = group_tokens(texts[i], spans)
-                size = np.fromiter(map(len, groups), np.int64, len(groups))
-                mean = np.add.reduceat(z, np.cumsum(size) - size) / size
-                for group, score in zip(groups, (1 / (1 + np.exp(-mean))).tolist()):
-                    begin, end = spans[group[0]][0], spans[group[-1]][1]
-                    word = texts[i][begin:end]
-                    if any(map(str.isalnum, word)):
-                        out[i].append({"word": word.strip().strip(T.EDGE_DASH), "start": begin, "end": end, "score": score, "tokens": len(group)})
-        return out
+        n, word, start, end, tokens, (score,) = scored_words([self], texts, budget)
+        flat = [dict(zip(("word", "start", "end", "score", "tokens"), x)) for x in zip(word, start, end, score.tolist(), tokens)]
+        stop = np.cumsum(n).tolist()
+        return [flat[b - k : b] for k, b in zip(n, stop)]
+
+
+def scored_words(taggers: list[Tagger], texts: list[str], budget: int = 1_024) -> tuple[list[int], list[str], list[int], list[int], list[int], list[np.ndarray]]:
+    """(words of each text; word, start, end, tokens of all words; their scores by each tagger): the taggers have one tokenizer, and the texts go through it once."""
+    encoded = [taggers[0].tokenizer.encode(t) for t in texts]
+    order = sorted(range(len(texts)), key=lambda i: len(encoded[i][0]))
+    logits: list[list] = [[None] * len(texts) for _ in taggers]
+    for lo, hi in length_batches([len(encoded[i][0]) for i in order], budget):
+        part = order[lo:hi]
+        ids = [encoded[i][0] for i in part]
+        for own, tagger in zip(logits, taggers):
+            for i, z in zip(part, tagger.logits(ids)):
+                own[i] = z
+    count, word, start, end, size, spoken = [], [], [], [], [], []
+    for text, (_, spans) in zip(texts, encoded):
+        before = len(word)
+        for group in group_tokens(text, spans):
+            a, e = spans[group[0]][0], spans[group[-1]][1]
+            w = text[a:e]
+            size.append(len(group))
+            spoken.append(any(map(str.isalnum, w)))
+            if spoken[-1]:
+                word.append(w.strip().strip(T.EDGE_DASH))
+                start.append(a)
+                end.append(e)
+        count.append(len(word) - before)
+    tokens, keep = np.array(size, np.int64), np.array(spoken, bool)
+    scores = []
+    for own in logits:
+        mean = np.add.reduceat(np.concatenate(own), np.cumsum(tokens) - tokens) / tokens if size else np.zeros(0)
+        scores.append(1 / (1 + np.exp(-mean[keep])))
+    return count, word, start, end, tokens[keep].tolist(), scores
 
 
 def length_batches(lengths: list[int], budget: int = 16_384, multiple: int = 32) -> Iterator[tuple[int, int]]:
@@ -159,16 +217,49 @@ def both_titles(messages: DataFrame, source, budget: int = 6, text: str = "text"
 
 
 def precision_report(messages: DataFrame, files: dict[str, bytes], reference: str, id_col: str = "id", text: str = "text") -> DataFrame:
-    """(file, bytes, n, n_same, n_empty): titles of each model file against those of the ``reference``, over the same texts."""
-    said = {name: titles(messages.select(id_col, text), data, text=text).select(id_col, F.col("title").alias(f"t{i}")) for i, (name, data) in enumerate(files.items())}
-    base = said[reference].withColumnRenamed(said[reference].columns[1], "base")
-    rows = []
-    for name, df in said.items():
-        own = df.columns[1]
-        d = df.join(base, id_col)
-        n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long")
-        rows.append(d.agg(F.lit(name).alias("file"), F.lit(len(files[name])).cast("long").alias("bytes"), F.count("*").alias("n"), n(F.col(own) == F.col("base")).alias("n_same"), n(F.col(own) == "").alias("n_empty")))
-    return reduce(DataFrame.unionByName, rows)
+    """(file, bytes, n, n_same, n_empty): titles of each model file against those of the ``reference``, over the same texts.
+
+    Each different text is cut into tokens once a tokenizer and scored by all models where it stands; its titles count as often as it occurs.
+    """
+    models = {name: load(data) for name, data in files.items()}
+    # models of one tokenizer and limit share the words, each with a column of scores
+    shares: dict[tuple, list[str]] = {}
+    for name, m in models.items():
+        shares.setdefault((m.merges.tobytes(), tuple(m.header["byte_ids"]), m.header["merges_base"], m.header.get("max_chars", 1200)), []).append(name)
+    groups = list(shares.values())
+    limits = [key[-1] for key in shares]
+    shared = messages.sparkSession.sparkContext.broadcast([[models[name] for name in g] for g in groups])
+    kinds = [[("word", pa.string()), ("start", pa.int32()), ("end", pa.int32()), *((f"s{i}", pa.float64()) for i in range(len(g)))] for g in groups]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taggers = [[Tagger(m) for m in g] for g in shared.value]
+        for whole in batches:
+            for b in (whole.slice(lo, 2_000) for lo in range(0, whole.num_rows, 2_000)):
+                texts, cols = b.column(1).to_pylist(), [b.column(0)]
+                for own, limit, kind in zip(taggers, limits, kinds):
+                    n, word, start, end, _, scores = scored_words(own, [t[:limit] for t in texts])
+                    flat = [pa.array(x, t) for x, (_, t) in zip((word, start, end, *scores), kind)]
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.StructArray.from_arrays(flat, [k for k, _ in kind])))
+                yield pa.RecordBatch.from_arrays(cols, names=["n", *(f"w{j}" for j in range(len(groups)))])
+
+    cut = F.substring(T.strip(F.coalesce(F.col(text), F.lit(""))), 1, max(limits)).alias("_t")
+    texts = messages.where(F.col(id_col).isNotNull()).groupBy(cut).agg(F.count("*").alias("n")).select("n", "_t")
+    struct = lambda g: "word:string,start:int,end:int" + "".join(f",s{i}:double" for i in range(len(g)))
+    scored = spread(texts, heavy=True).mapInArrow(run, "n long" + "".join(f", w{j} array<struct<{struct(g)}>>" for j, g in enumerate(groups)))
+
+    def title(name: str, j: int, i: int) -> Column:
+        rules = {k: v for k, v in (models[name].header.get("decoding") or {}).items() if k in decode.DECODING}
+        own = F.transform(f"w{j}", lambda w: F.struct(w["word"].alias("word"), w["start"].alias("start"), w["end"].alias("end"), w[f"s{i}"].alias("score")))
+        return decode.join_words(decode.choose(own, **rules))
+
+    at = {name: f"t{j}_{i}" for j, g in enumerate(groups) for i, name in enumerate(g)}
+    said = scored.select("n", *(title(name, j, i).alias(at[name]) for j, g in enumerate(groups) for i, name in enumerate(g)))
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("long")
+    rows = [
+        F.struct(F.lit(name).alias("file"), F.lit(len(data)).cast("long").alias("bytes"), n(F.lit(True)).alias("n"), n(F.col(at[name]) == F.col(at[reference])).alias("n_same"), n(F.col(at[name]) == "").alias("n_empty"))
+        for name, data in files.items()
+    ]
+    return said.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
 def latency(texts: list[str], source, warm: int = 50, passes: int = 3) -> dict[str, float]:

@@ -163,3 +163,22 @@ def test_sizes_precision_and_latency(spark):
     both = {r.id: r for r in tagger.both_titles(m, files["32"], budget=2).collect()}
     assert len(both["1"].title_budget.split()) == 2 and both["2"].title == "" and both["3"].title == "x"
     assert tagger.latency(["stone bridge"] * 3, files["3"], warm=1, passes=1)["ms_per_title"] > 0
+
+
+def test_precision_report_scores_each_text_once(spark):
+    texts = ["the old stone bridge near the mill and the river", "the old stone bridge near the mill and the river ", "", None, "  ", "l'école d’art in the garden of lions, walls and bells"]
+    rows = [(str(i), texts[i % len(texts)]) for i in range(24)] + [(None, "x y")]
+    m = spark.createDataFrame(rows, "id string, text string")
+    small, large = (models.learn(m, n) for n in (5, 40))
+    files = {"3": models.seeded_model(small, 3), "32": models.seeded_model(small, 32), "other": models.seeded_model(large, 32)}
+    report = tagger.precision_report(m, files, "32")
+    # one stage of Python for all files, not one a file
+    assert report._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    said = {name: {r.id: r.title for r in tagger.titles(m.where("id IS NOT NULL"), data).collect()} for name, data in files.items()}
+    got = {r.file: r for r in report.collect()}
+    for name, data in files.items():
+        r = got[name]
+        assert (r.bytes, r.n, r.n_empty) == (len(data), 24, 12)
+        assert r.n_same == sum(said[name][i] == said["32"][i] for i in said[name])
+    empty = tagger.precision_report(m.where("false"), files, "32").collect()
+    assert [(r.file, r.n, r.n_same, r.n_empty) for r in empty] == [(name, 0, 0, 0) for name in files]
