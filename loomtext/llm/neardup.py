@@ -140,21 +140,33 @@ def gray_order(codes: np.ndarray) -> np.ndarray:
     return np.lexsort(rank.T[::-1])
 
 
-def gray_search(codes: np.ndarray, side: np.ndarray | None, bound: int, fan: int = LEAF, visits: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _bits(x: np.ndarray) -> np.ndarray:
+    """Bits set in each row of uint64[rows, words]."""
+    n = np.bitwise_count(x)
+    if n.shape[1] != 8:
+        return n.sum(axis=1, dtype=np.int64)
+    # eight counts of one byte are a number: added up in lanes of 16 bits, which the product sums
+    n = np.ascontiguousarray(n).view(np.uint64)[:, 0]
+    low = np.uint64(0x00FF00FF00FF00FF)
+    with np.errstate(over="ignore"):
+        return (((n & low) + ((n >> np.uint64(8)) & low)) * np.uint64(0x0001000100010001) >> np.uint64(48)).astype(np.int64)
+
+
+def gray_search(codes: np.ndarray, side: np.ndarray | None, bound: int, fan: int = LEAF, visits: list[int] | None = None, room: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of rows that differ in at most ``bound`` bits; with ``side``, only those of different sides.
 
     Level 0 holds the codes in Gray order. The nodes of level 1 are its runs in which neighbours are within the bound, of at most ``fan`` squared
     codes, so that a stray between copies makes a node of its own; above, each node has ``fan`` children. A node holds the bits that its
     children agree on, and each child only those beyond its parent's, so that differences add up on the way down. Where the codes
-    come in clusters, as in a node of many near copies, the groups of other clusters fall out at level 1. ``visits`` gets the number of
-    comparisons at each level.
+    come in clusters, as in a node of many near copies, the groups of other clusters fall out at level 1; where nothing falls out, rows are compared directly. So many rows are searched for at
+    once that their comparisons with all others are ``room`` at most. ``visits`` gets the number of comparisons at each level.
     """
     n = len(codes)
-    if n < 2:
+    if n < 2 or side is not None and (side == side[0]).all():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = gray_order(codes)
     sorted_ = codes[order]
-    far = np.bitwise_count(sorted_[1:] ^ sorted_[:-1]).sum(axis=1, dtype=np.int64) > bound
+    far = _bits(sorted_[1:] ^ sorted_[:-1]) > bound
     first = np.flatnonzero(np.concatenate(([True], far)))
     run = np.diff(np.concatenate((first, [n])))
     parts = -(-run // (fan * fan))
@@ -171,30 +183,67 @@ def gray_search(codes: np.ndarray, side: np.ndarray | None, bound: int, fan: int
         if len(at) <= fan:
             break
         at = np.arange(0, len(at), fan)
-    top = len(levels[-1][0])
-    query, node = np.repeat(np.arange(n), top), np.tile(np.arange(top), n)
-    parent = np.zeros((1, codes.shape[1]), np.uint64)
+    beside = np.zeros(n, np.int64) if side is None else side[order]
+    # rows that the rows of a side are compared with, and their codes by columns
+    others = {s: np.arange(n) if side is None else np.flatnonzero(beside != s) for s in np.unique(beside).tolist()}
+    direct = {s: (at, np.ascontiguousarray(sorted_[at].T)) for s, at in others.items()}
+    found = [_descend(levels, beside, direct, bound, lo, min(n, lo + max(1, room // n)), visits) for lo in range(0, n, max(1, room // n))]
+    a, b = (order[np.concatenate(x)] for x in zip(*found))
+    return a, b
+
+
+def _compare(codes: np.ndarray, side: np.ndarray, direct: dict, bound: int, lo: int, hi: int, first: int = 5) -> tuple[np.ndarray, np.ndarray, int]:
+    """What ``_descend`` finds, without the levels, and the number of comparisons: ``first`` words of all codes, then the other words of those within the bound so far."""
+    query, node, seen = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for q in range(lo, hi):
+        rows, words = direct[int(side[q])]
+        begin = int(np.searchsorted(rows, q, "right"))
+        spent = np.zeros(len(rows) - begin, np.uint16)
+        seen += len(spent)
+        for w, x in zip(words[:first, begin:], codes[q]):
+            spent += np.bitwise_count(w ^ x)
+        at = np.flatnonzero(spent <= bound)
+        if len(at):
+            at = rows[at + begin]
+            at = at[_bits(codes[at] ^ codes[q]) <= bound]
+            query.append(np.full(len(at), q))
+            node.append(at)
+    return np.concatenate(query), np.concatenate(node), seen
+
+
+def _descend(levels: list[tuple], side: np.ndarray, direct: dict, bound: int, lo: int, hi: int, visits: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the rows from ``lo`` to ``hi`` of the lowest level with rows after them, of another side where there are sides."""
+    sorted_, top = levels[0][0], len(levels[-1][0])
+    query, node = np.repeat(np.arange(lo, hi), top), np.tile(np.arange(top), hi - lo)
+    parent = np.zeros((1, sorted_.shape[1]), np.uint64)
     above = np.zeros(len(query), np.int64)
     spent = np.zeros(len(query), np.int64)
     for depth in range(len(levels) - 1, -1, -1):
         value, mask, child, last = levels[depth]
         # only nodes with a row after the query's: each pair is looked at once
         keep = last[node] > query
+        if not depth and len(direct) > 1:
+            keep &= side[node] != side[query]
         query, node, above, spent = query[keep], node[keep], above[keep], spent[keep]
         if visits is not None:
             visits.append(len(query))
-        spent = spent + np.bitwise_count((sorted_[query] ^ value[node]) & mask[node] & ~parent[above]).sum(axis=1, dtype=np.int64)
+        apart = sorted_[query] ^ value[node]
+        if depth:
+            apart &= mask[node]
+        apart &= ~parent[above]
+        spent = spent + _bits(apart)
         keep = spent <= bound
         query, node, spent = query[keep], node[keep], spent[keep]
         if depth:
             parent, size = mask, child[node + 1] - child[node]
+            if 2 * size.sum() > (hi - lo) * (len(sorted_) - lo):
+                query, node, seen = _compare(sorted_, side, direct, bound, lo, hi)
+                if visits is not None:
+                    visits.append(seen)
+                return query, node
             query, above, spent = np.repeat(query, size), np.repeat(node, size), np.repeat(spent, size)
             node = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(child[node], size)
-    a, b = order[query], order[node]
-    if side is not None:
-        keep = side[a] != side[b]
-        a, b = a[keep], b[keep]
-    return a, b
+    return query, node
 
 
 def _signatures(docs: DataFrame, words: int, band: int) -> DataFrame:
@@ -245,23 +294,17 @@ def _band_rows(sigs: DataFrame) -> DataFrame:
     return sigs.select("cls", "keys").mapInArrow(flat, _ROWS)
 
 
-def candidates(sigs: DataFrame, bound: int, block: int = 2000, deep: int = 32) -> DataFrame:
-    """Pairs (a, b) of classes, a < b, that share an upper node and differ in at most ``bound`` bits.
+def candidates(sigs: DataFrame, bound: int, block: int = 2000, deep: int = 32, most: int = 100_000) -> DataFrame:
+    """Pairs (a, b) of classes, a < b, that share an upper node and differ in at most ``bound`` bits: all of them, however large the node.
 
     Nodes with more than ``block`` classes are cut into blocks, and each pair of blocks is a unit of work of its own. That copies a row as often as there
-    are blocks; so nodes of more than ``deep`` blocks are parted by a second pattern first. A similar pair that shares one pattern only is then lost,
-    which at the threshold is as unlikely as ``layout`` makes it to share none, times the number of patterns.
+    are blocks; so nodes of more than ``deep`` blocks have ``deep`` larger ones instead, and more only where a block would hold more than ``most`` classes.
     """
     node = _shared(_band_rows(sigs)).select("h", F.col("doc_id").alias("cls")).distinct()
     code = sigs.groupBy("cls").agg(F.first("code").alias("code"))
     node = cut_lineage(node, "nodes")
-    hot = node.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > block * deep).select("h")
-    if not hot.isEmpty():
-        keys = sigs.groupBy("cls").agg(F.first("keys").alias("keys"))
-        own = node.join(hot, "h").join(keys, "cls").select("h", "cls", F.explode("keys").alias("k")).where("k <> h")
-        parted = own.select(F.xxhash64("h", "k").alias("h"), "cls")
-        node = cut_lineage(node.join(hot, "h", "left_anti").union(parted.join(parted.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "h")), "nodes")
-    size = node.groupBy("h").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
+    blocks = lambda n: F.greatest(F.least(F.ceil(n / block), F.lit(deep)), F.ceil(n / most))
+    size = node.groupBy("h").agg(blocks(F.count("*")).cast("int").alias("nb"))
     rows = (
         node.join(size.where("nb > 1"), "h", "left")
         .withColumn("nb", F.coalesce("nb", F.lit(1)))

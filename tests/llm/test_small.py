@@ -508,3 +508,30 @@ def test_all_pairs_of_a_large_class(spark):
     rows = [*enumerate(same), (100, " ".join(f"w{k}" for k in range(41)))]
     got = {(r.doc_id_1, r.doc_id_2) for r in neardup.NearDuplicates(docs(spark, rows), words=3).pairs().collect()}
     assert got == set(itertools.combinations([i for i, _ in rows], 2))
+
+
+def test_large_nodes_keep_pairs_of_one_pattern(spark):
+    """Classes that share one pattern only, in a node beyond every bound of blocks: all pairs within the bound come out."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 8, np.uint64)
+    rows = []
+    for i in range(60):
+        code = base ^ (np.uint64(1) << np.uint64(i)) if i < 40 else rng.integers(0, 1 << 63, 8, np.uint64)
+        rows.append((i, 1000 + i, bytearray(code.tobytes()), [7, *(100 * i + k for k in range(1, 32))]))
+    sigs = spark.createDataFrame(rows, "doc_id long, cls long, code binary, keys array<long>")
+    want = [(1000 + a, 1000 + b) for a, b in itertools.combinations(range(40), 2)]
+    for work in ((4, 1), (4, 3), (8, 2), (4, 2, 6), (2000, 32)):
+        assert sorted(map(tuple, neardup.candidates(sigs, 109, *work).collect())) == want, work
+
+
+def test_gray_search_in_parts_and_without_pruning():
+    rng = np.random.default_rng(6)
+    like = rng.integers(0, 1 << 63, (5, 8), np.uint64)[rng.integers(0, 5, 60)] ^ (np.uint64(1) << rng.integers(0, 64, (60, 8)).astype(np.uint64))
+    for codes in (like, np.concatenate((like, rng.integers(0, 1 << 63, (400, 8), np.uint64)))):
+        apart = np.bitwise_count(codes[:, None] ^ codes[None]).sum(axis=2)
+        for side in (None, rng.integers(0, 3, len(codes)), np.zeros(len(codes), np.int64)):
+            want = {(i, j) for i, j in zip(*np.nonzero(apart <= 109)) if i < j and (side is None or side[i] != side[j])}
+            for room in (1, 999, 1_000_000):
+                a, b = neardup.gray_search(codes, side, 109, room=room)
+                got = list(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
+                assert len(got) == len(want) and set(got) == want
