@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,51 +41,108 @@ from .spans import _emit, _ROWS, _shared
 SLOTS = 128
 #: Children of a node; nodes with no more rows are compared directly.
 LEAF = 8
+#: Runs of words that are hashed at once, and characters of the texts that are taken together.
+RUNS, BLOCK = 20_000, 250_000
+#: UTF-16 units up to which words are hashed in columns; longer ones are hashed one by one.
+LONG = 128
 _WORD = re.compile(r"[^\W_]+")
+#: Bits of a number that the first 0 … 4 units of it fill.
+_FILL = np.array([(1 << 16 * k) - 1 for k in range(5)], np.uint64)
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(0, 1 << 32, SLOTS, np.uint32) | np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, SLOTS, np.uint32)
-_ROOM = np.empty((256, SLOTS), np.uint32)
+
+
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Whether each UTF-16 unit is a code point that belongs to words, as ``_WORD`` has it."""
+    out = np.zeros(0x10000, bool)
+    for m in _WORD.finditer("".join(map(chr, range(len(out))))):
+        out[m.start() : m.end()] = True
+    return out
+
+
+def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts in a row, and how many words each text has.
+
+    Words are found in UTF-16 units and hashed four units at a time, all words of one length together.
+    """
+    parts = [((t or "").lower() + "\n").encode("utf-16-le", "surrogatepass") for t in texts]
+    stops = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) >> 1
+    data = b"".join(parts) + bytes(8)
+    n = (len(data) >> 1) - 4
+    units = np.frombuffer(data, "<u2", n)
+    inside = np.zeros(n + 1, bool)
+    np.take(_letters(), units, out=inside[1:], mode="clip")
+    high = np.flatnonzero(units & np.uint16(0xFC00) == 0xD800)
+    high = high[units[high + 1] & np.uint16(0xFC00) == 0xDC00]
+    if len(high):
+        point, at = np.unique(0x10000 + ((units[high].astype(np.int64) & 0x3FF) << 10) + (units[high + 1] & np.uint16(0x3FF)), return_inverse=True)
+        inside[high + 1] = inside[high + 2] = np.array([bool(_WORD.match(chr(c))) for c in point.tolist()])[at]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    begin, size = edges[::2], edges[1::2] - edges[::2]
+    four = np.ndarray(n, "<u8", data, strides=(2,))
+    h = mix64(four[begin] & _FILL[np.minimum(size, 4)])
+    at, k = np.flatnonzero((size > 4) & (size <= LONG)), 4
+    while len(at):
+        h[at] = mix64(h[at] + (four[begin[at] + k] & _FILL[np.minimum(size[at] - k, 4)]))
+        k += 4
+        at = at[size[at] > k]
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[2 * begin[i] : 2 * (begin[i] + size[i])])
+    return h, np.diff(np.searchsorted(begin, stops), prepend=0)
 
 
 class Shingler:
     """Texts to sorted arrays of the distinct 64-bit hashes of their word runs."""
 
-    def __init__(self, words: int, keep: int = 500_000) -> None:
-        self.words, self.keep, self.known = words, keep, {}
+    def __init__(self, words: int) -> None:
+        self.words = words
 
     def __call__(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint64)
-        known = self.known
-        found = _WORD.findall(text.lower())
-        if len(found) < self.words:
-            return np.zeros(0, np.uint64)
-        if len(known) > self.keep:
-            known.clear()
-        for w in set(found).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        w = np.fromiter(map(known.get, found), np.uint64, len(found))
-        n = len(w) - self.words + 1
-        h = mix64(w[:n])
+        return self.sets([text])[0]
+
+    def sets(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The arrays of all texts in a row, and where each begins (one entry more than texts)."""
+        w, count = _words(texts)
+        last = self.words - 1
+        h = mix64(w[: max(0, len(w) - last)])
         with np.errstate(over="ignore"):
             for k in range(1, self.words):
-                h = mix64(h + w[k : k + n])
-        return np.unique(h)
+                h = mix64(h + w[k : k + len(h)])
+        owner = np.repeat(np.arange(len(texts)), count)
+        # runs that lie in one text
+        h = h[owner[: len(h)] == owner[last:]]
+        starts = np.concatenate(([0], np.cumsum(np.maximum(count - last, 0))))
+        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            h[lo:hi].sort()
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        new[starts[:-1][starts[:-1] < len(h)]] = True
+        return h[new], np.concatenate(([0], np.cumsum(new)))[starts]
+
+
+def signatures(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Smallest value of each set under each of the hash functions: uint32[sets, SLOTS]. The sets stand in a row and none is empty."""
+    out = np.empty((len(starts) - 1, SLOTS), np.uint32)
+    x = (shingles >> np.uint64(32)).astype(np.uint32)
+    lo = 0
+    while lo < len(out):
+        # as many sets as stay in the cache, or one
+        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + RUNS, "right")) - 1)
+        part, at = x[starts[lo] : starts[hi]], starts[lo:hi] - starts[lo]
+        room = np.empty_like(part)
+        for k in range(SLOTS):
+            np.multiply(part, _MUL[k], out=room)
+            room += _ADD[k]
+            out[lo:hi, k] = np.minimum.reduceat(room, at)
+        lo = hi
+    return out
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """Smallest value of the set under each of the hash functions (uint32[SLOTS])."""
-    out = np.full(SLOTS, 0xFFFFFFFF, np.uint32)
-    x = (shingles >> np.uint64(32)).astype(np.uint32)
-    for lo in range(0, len(x), len(_ROOM)):
-        part = x[lo : lo + len(_ROOM), None]
-        room = _ROOM[: len(part)]
-        # in place: rows of numbers that stay in the cache
-        np.multiply(part, _MUL, out=room)
-        room += _ADD
-        np.minimum(out, room.min(axis=0), out=out)
-    return out
+    """``signatures`` of one set (uint32[SLOTS])."""
+    return signatures(shingles, np.array([0, len(shingles)]))[0]
 
 
 def bits_tail(similarity: float) -> np.ndarray:
@@ -246,6 +304,11 @@ def _descend(levels: list[tuple], side: np.ndarray, direct: dict, bound: int, lo
     return query, node
 
 
+def _binary(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Parts of the values' bytes, from each start to the next."""
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def _signatures(docs: DataFrame, words: int, band: int) -> DataFrame:
     """(doc_id, cls, n, code, keys): cls is a commutative hash of the set."""
 
@@ -253,24 +316,21 @@ def _signatures(docs: DataFrame, words: int, band: int) -> DataFrame:
         shingle = Shingler(words)
         for b in batches:
             ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
-            for lo, hi in slices(texts):
-                own, cls, sigs = [], [], []
-                for i in range(lo, hi):
-                    s = shingle(texts[i])
-                    if len(s):
-                        own.append(ids[i])
-                        with np.errstate(over="ignore"):
-                            cls.append(mix64(s).sum(dtype=np.uint64))
-                        sigs.append(signature(s))
-                if not own:
+            for lo, hi in slices(texts, BLOCK):
+                grams, starts = shingle.sets(texts[lo:hi])
+                some = np.flatnonzero(np.diff(starts))
+                if not len(some):
                     continue
-                sigs = np.array(sigs)
+                starts = np.append(starts[some], len(grams))
+                with np.errstate(over="ignore"):
+                    cls = np.add.reduceat(mix64(grams), starts[:-1])
+                sigs = signatures(grams, starts)
                 keys = band_keys(sigs, band)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(own, pa.int64()),
-                        pa.array(np.array(cls, np.uint64).view(np.int64)),
-                        pa.array([r.tobytes() for r in narrow(sigs)], pa.binary()),
+                        pa.array(ids[lo:hi][some], pa.int64()),
+                        pa.array(cls.view(np.int64)),
+                        _binary(narrow(sigs), np.arange(len(some) + 1) * (SLOTS // 2)),
                         pa.ListArray.from_arrays(np.arange(0, keys.size + 1, SLOTS // band, dtype=np.int32), keys.ravel().view(np.int64)),
                     ],
                     names=["doc_id", "cls", "code", "keys"],
@@ -284,11 +344,10 @@ def _band_rows(sigs: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            cls = b.column(0).to_numpy(zero_copy_only=False)
-            keys = b.column(1).flatten().to_numpy().view(np.uint64)
-            owner = np.repeat(cls, len(keys) // len(cls))
-            pairs = np.unique(np.stack((keys, owner.view(np.uint64)), 1), axis=0)
-            if (out := _emit(pairs[:, 0], pairs[:, 1].view(np.int64), np.zeros(len(pairs), np.int32))) is not None:
+            # the patterns of a class are those of any of its records
+            cls, at = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_index=True)
+            keys = b.column(1).flatten().to_numpy().view(np.uint64).reshape(b.num_rows, -1)[at]
+            if (out := _emit(keys.ravel(), np.repeat(cls, keys.shape[1]), np.zeros(keys.size, np.int32))) is not None:
                 yield out
 
     return sigs.select("cls", "keys").mapInArrow(flat, _ROWS)
@@ -365,7 +424,10 @@ def _similar(docs: DataFrame, pairs: DataFrame, member: DataFrame, words: int, t
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["cls", "grams"])
+            texts = b.column(1).to_pylist()
+            for lo, hi in slices(texts, BLOCK):
+                found, starts = shingle.sets(texts[lo:hi])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), _binary(found, starts * 8)], names=["cls", "grams"])
 
     grams = cut_lineage(docs.join(rep, "doc_id").select("cls", "text").mapInArrow(sets, "cls long, grams binary"), "grams")
 

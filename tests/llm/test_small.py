@@ -3,8 +3,10 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -535,3 +537,43 @@ def test_gray_search_in_parts_and_without_pruning():
                 a, b = neardup.gray_search(codes, side, 109, room=room)
                 got = list(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
                 assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("words", [1, 3])
+def test_runs_of_odd_texts(words):
+    """The sets are those of the words themselves: all scripts, pairs of UTF-16 units, lower case of other length, words of any length."""
+    rng = random.Random(words)
+    signs = ["a", "B", "é", "İ", "Σ", "ß", "_", " ", "\n", "\0", "中", "𝒜", "𐐀", "😀", "́", "٣", "²", "ǅ", "x" * 40]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(200))) for _ in range(400)]
+    texts = [None, "a", *texts, "", "a b", "a b c", "z" * 500, *(" ".join(["z" * n, "a"] * 4) for n in (3, 4, 5, 127, 128, 129)), None]
+    found, starts = neardup.Shingler(words).sets(texts)
+    known = {}
+    for i, t in enumerate(texts):
+        own = found[starts[i] : starts[i + 1]]
+        assert (own[1:] > own[:-1]).all() and len(own) == len(sets(t, words)), t
+        # the same run has the same hash everywhere, another run another
+        for run in sets(t, words):
+            h = neardup.Shingler(words)(" ".join(run)).tolist()
+            assert known.setdefault(run, h) == h and len(h) == 1 and h[0] in own, run
+    assert len({h[0] for h in known.values()}) == len(known)
+    assert [len(x) for x in neardup.Shingler(words).sets([None, ""])] == [0, 3]
+
+
+def test_fingerprints_cost_no_more_than_the_words(monkeypatch):
+    """All that a record's fingerprint takes is less than twice the time of a pattern that finds its words (some four times when each word was looked up)."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(150_000)}" for _ in range(180)) for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    monkeypatch.setattr(neardup, "spread", lambda df: df)
+    make = neardup._signatures(type("Docs", (), {"mapInArrow": staticmethod(lambda f, schema: f)}), 3, 4)
+
+    def seconds(f):
+        best = []
+        for _ in range(3):
+            at = time.process_time()
+            f()
+            best.append(time.process_time() - at)
+        return min(best)
+
+    words = re.compile(r"[^\W_]+")
+    assert seconds(lambda: list(make(iter([batch])))) < 2 * seconds(lambda: [words.findall(t.lower()) for t in texts])
